@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from asterweave.functions.stated import is_nothing, stated_mag, stated_size
 from asterweave.llm.groups import tolerance_groups
+from asterweave.llm.match import matched_pairs
 from asterweave.llm.mixing import mixed, shares_reached
 from asterweave.llm.subjects import subject_shares, subjects_of
 from asterweave.llm.survivors import surviving_cells
@@ -18,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_matches(spark, sf_dir).select("row_id_a", "row_id_b")
+
+
+def p1_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matched_pairs(_table(spark, sf_dir, "katalog_astro_full"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.exists(F.split(F.col("common_names"), r'[,;|\t"]|\s/\s'), lambda v: ~is_nothing(v))
     flags = {
@@ -71,6 +80,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_matches": p1_matches,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p7_ids": p7_ids,
