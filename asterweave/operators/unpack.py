@@ -36,6 +36,11 @@ def _delimiters_in(text: Column) -> Column:
     return sum((F.when(text.rlike(d), 1 << i).otherwise(0) for i, d in enumerate(DELIMITERS)), F.lit(0))
 
 
+def _balanced(text: Column) -> Column:
+    """Whether a text has quotes, and an even number of them."""
+    return text.contains('"') & (F.length(F.regexp_replace(text, '[^"]', "")) % 2 == 0)
+
+
 def _pattern(mask: Column) -> Column:
     """A regular expression of the delimiters in a mask."""
     return F.array_join(
@@ -81,11 +86,14 @@ def _tokens(value: Column) -> Column:
     """The words and signs of a value, each with the sign before it, or ^ at the start, as its context."""
     found = F.regexp_extract_all(value, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}\s]"), F.lit(0))
 
-    def after(i: Column) -> Column:
-        before = F.get(found, i - 1)
-        return F.when(i == 0, F.lit("^")).when(before.rlike(r"^[\p{P}\p{S}]$"), before).otherwise("")
+    # a neighbour is reached by shifting the list: looked up by its place it would be found anew at every token
+    before = F.concat(F.array(F.lit(None).cast("string")), found)
+
+    def pair(token: Column, last: Column) -> Column:
+        after = F.when(last.isNull(), F.lit("^")).when(last.rlike(r"^[\p{P}\p{S}]$"), last).otherwise("")
+        return F.struct(after.alias("after"), token.alias("token"))
 
-    return F.transform(found, lambda w, i: F.struct(after(i).alias("after"), w.alias("token")))
+    return F.filter(F.zip_with(found, before, pair), lambda t: t["token"].isNotNull())
 
 
 def _prices(values: DataFrame, counts: DataFrame, totals: Column) -> DataFrame:
@@ -112,11 +120,13 @@ def cheapest_dialects(texts: DataFrame) -> DataFrame:
 
     Values are priced as in a two-part code, learned for each field: one used
     before costs the logarithm of its frequency, a new one the share of new
-    values and its words. The joins on values are salted, since one value may
+    values and its words. What counts as a value is learned from the finest parse
+    of each text, so that many copies of a packed text don't make it one value.
+    The joins on values are salted, since one value may
     hold a third of all rows.
     """
     t, d = F.col("text"), F.col("dialect")
-    can_quote = t.contains('"') & (F.length(F.regexp_replace(t, '[^"]', "")) % 2 == 0)
+    can_quote = _balanced(t)
     inside_dropped = F.transform(F.split(t, '"', -1), lambda s, i: F.when(i % 2 == 0, s).otherwise(""))
     bare = F.when(can_quote, F.array_join(inside_dropped, '"')).otherwise(t)
 
@@ -173,7 +183,7 @@ def unpack_fields(df: DataFrame, fields: list[str], key: str = "row_id", at_leas
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))
     long = df.select(F.col(key).alias("__key"), F.explode(each).alias("f")).select("__key", "f.field", "f.text").where("text is not null")
     t, d = F.col("text"), F.col("dialect")
-    several = (_delimiters_in(t) > 0) | t.contains('"')
+    several = (_delimiters_in(t) > 0) | _balanced(t)
     packed = long.where(several).join(cheapest_dialects(long), ["field", "text"]).select("__key", "field", "text", "dialect")
     if at_least < 2:
         packed = packed.union(long.where(~several).select("__key", "field", "text", F.lit(0)))
