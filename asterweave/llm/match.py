@@ -35,12 +35,15 @@ LEAST_VARIANCE = 0.03**2
 FEATURES = 18
 
 
-def _texts(column: str, kept: str) -> Column:
+def _dialect(column: str) -> Column:
+    """All delimiters, and quotes where they are balanced."""
+    balanced = F.length(F.regexp_replace(F.col(column), '[^"]', "")) % 2 == 0
+    return F.when(balanced, F.lit(2 * QUOTED - 1)).otherwise(QUOTED - 1)
+
+
+def _texts(column: str, dialect: Column, kept: str) -> Column:
     """The normal forms of the values packed in a field, without those that are no values."""
-    t = F.col(column)
-    balanced = F.length(F.regexp_replace(t, '[^"]', "")) % 2 == 0
-    dialect = F.when(balanced, F.lit(2 * QUOTED - 1)).otherwise(QUOTED - 1)
-    values = F.transform(parse(t, dialect), lambda v: F.regexp_replace(F.lower(unquoted(v, dialect)), kept, ""))
+    values = F.transform(parse(F.col(column), dialect), lambda v: F.regexp_replace(F.lower(unquoted(v, dialect)), kept, ""))
     values = F.transform(values, lambda v: F.regexp_replace(v, r"^the\s+", ""))
     return F.coalesce(F.array_distinct(F.filter(values, lambda v: (v != "") & ~is_nothing(v))), F.array().cast("array<string>"))
 
@@ -50,15 +53,17 @@ def records(df: DataFrame) -> DataFrame:
     ra, dec = sky.usable_ra(F.col("ra")), sky.usable_dec(F.col("dec"))
     x, y, z = sky.unit_vector(ra, dec)
     ident = F.regexp_replace(F.regexp_replace(F.lower("id"), r"[^\p{L}\p{N}]", ""), r"(?<=\p{L})0+(?=\d)", "")
-    return df.where(F.col("row_id").isNotNull() & ra.isNotNull() & dec.isNotNull()).select(
+    own = ["row_id", "catalog", "id", "ra", "dec", "mag", "size", "common_names", "extra_info"]
+    rows = df.select(*own).withColumns({"__names": _dialect("common_names"), "__marks": _dialect("extra_info")})
+    return rows.where(F.col("row_id").isNotNull() & ra.isNotNull() & dec.isNotNull()).select(
         "row_id",
         F.coalesce(catalog_code(F.col("catalog")), F.lit("")).alias("cat"),
         F.when(~is_nothing(F.col("id")), ident).alias("ident"),
         x.alias("x"), y.alias("y"), z.alias("z"),
         stated_mag(F.col("mag")).alias("mag"),
         F.log(stated_size(F.col("size"))).alias("size"),
-        _texts("common_names", '"').alias("names"),
-        _texts("extra_info", r'[\s"]').alias("marks"),
+        _texts("common_names", F.col("__names"), '"').alias("names"),
+        _texts("extra_info", F.col("__marks"), r'[\s"]').alias("marks"),
     )
 
 

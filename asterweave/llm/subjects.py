@@ -65,13 +65,13 @@ class Splitter:
         self.missing = re.compile(rf"(?<=[^\s.!?;…])\s+(?=(?:{alternatives})\s)") if openers else None
 
     def cut(self, text: str) -> list[tuple[int, str]]:
-        """(section, sentence) in order; sections are parted by blank lines, headings are left out."""
+        """(section, sentence) in order; sections are parted by blank lines; headings and bare designations are left out."""
         out = []
         for number, section in enumerate(re.split(r"(?:\r?\n[ \t]*){2,}", text)):
             for piece in _BREAK.split(section):
                 for part in self._restore(piece):
                     part = re.sub(r"^\s*(?:\[[^\]]*\d[^\]]*\]|#\d+\s*\[\w+\])\s*", "", part).strip()
-                    if _WORD.search(part) and not _HEADING.match(part):
+                    if _WORD.search(_NAME.sub(" ", part)) and not _HEADING.match(part):
                         out.append((number, part))
         return out
 
@@ -200,8 +200,9 @@ def votes(lex: Lexicon, splitter: Splitter, docs: list[tuple[str | None, str | N
         return np.where(p.max(axis=1) >= SURE, p.argmax(axis=1) + 1, 0)
 
     words, phrases = vote(lex.posteriors(tokens, lex.words, False)), vote(lex.posteriors(tokens, lex.phrases, True))
-    # An address has little besides designations, numbers and references.
-    address = np.array([none + 1 if len(t) <= 1 else 0 for t in tokens])
+    # An address has little besides designations and numbers.
+    numbered = [any(c.isdigit() for c in s) for cut in cuts for _, s in cut]
+    address = np.array([none + 1 if len(t) <= 3 and n else 0 for t, n in zip(tokens, numbered, strict=True)])
     out, start = [], 0
     for cut, (_, source) in zip(cuts, docs, strict=True):
         n = len(cut)
