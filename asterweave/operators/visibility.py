@@ -130,14 +130,13 @@ def sky_days(spark: SparkSession, site: Site) -> DataFrame:
     )
 
 
-def raw_visibility(objects: DataFrame, site: Site, key: str = "id") -> DataFrame:
-    """(obj_id, ra, dec, day, alt, obj_pts): altitudes on the daily grid and horizon crossings of each object and day.
+def _object_days(objects: DataFrame, sky: DataFrame, site: Site, key: str) -> DataFrame:
+    """Objects times days: coordinates at the equinox of the day, sidereal time at noon, and horizon crossings.
 
-    Coordinates are carried to the equinox of the day. Crossings are sought from
-    noon UTC over 24 hours, both ends included. Rows are objects times days, one
-    narrow pass without a shuffle.
+    Crossings are the sign changes among the samples of 24 hours from noon UTC,
+    both ends included. Of the samples only those beside the analytic rising and
+    setting can change the sign, so no others are computed.
     """
-    sky = sky_days(objects.sparkSession, site).select("day", "noon", "lst")
     rows = objects.select(F.col(key).alias("obj_id"), "ra", "dec").crossJoin(F.broadcast(sky))
     ra, dec = ephem.precessed(F.col("ra"), F.col("dec"), F.col("noon"))
     rows = rows.withColumns({"ra_d": ra, "dec_d": dec, "lst0": ephem.local_sidereal(F.col("noon"), site.lon)})
@@ -146,9 +145,7 @@ def raw_visibility(objects: DataFrame, site: Site, key: str = "id") -> DataFrame
     def alt(lst: Column) -> Column:
         return ephem.altitude(lst, F.col("ra_d"), F.col("dec_d"), site.lat)
 
-    # Of the samples only those beside the analytic rising and setting can change the sign.
-    cos_h = -F.tan(F.radians("dec_d")) * math.tan(math.radians(site.lat))
-    half = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos_h))))
+    half = _half_arc(0.0, site)
     roots = [F.pmod(sign * half + F.col("ra_d") - F.col("lst0"), F.lit(360.0)) / rate for sign in (-1, 1)]
     near = F.array(*(F.floor(root + turn * 360.0 / rate).cast("int") + beside for root in roots for turn in (-1, 0, 1) for beside in (-1, 0, 1)))
     places = F.array_sort(F.array_distinct(F.filter(near, lambda k: (k >= 0) & (k < DAY_SAMPLES - 1))))
@@ -156,9 +153,99 @@ def raw_visibility(objects: DataFrame, site: Site, key: str = "id") -> DataFrame
     changed = F.filter(sampled, lambda p: (p["y0"] < 0) != (p["y1"] < 0))
     midday = F.col("day").cast("timestamp_ntz").cast("timestamp")
     stamp = lambda x: F.timestamp_micros(F.unix_micros(midday) + F.round((12.0 + x * (24.0 / (DAY_SAMPLES - 1))) * 3.6e9).cast("long"))
-    return rows.select(
-        "obj_id", "ra", "dec", "day", F.transform("lst", alt).alias("alt"), F.transform(changed, lambda p: stamp(p["k"] + p["y0"] / (p["y0"] - p["y1"]))).alias("obj_pts")
+    return rows.withColumn("obj_pts", F.transform(changed, lambda p: stamp(p["k"] + p["y0"] / (p["y0"] - p["y1"]))))
+
+
+def _half_arc(height: float, site: Site) -> Column:
+    """Hour angle in degrees at which an object of ``dec_d`` is at a height: 0 if it never is above, 180 if always."""
+    d, phi = F.radians("dec_d"), math.radians(site.lat)
+    cos_h = (math.sin(math.radians(height)) - F.sin(d) * math.sin(phi)) / (F.cos(d) * math.cos(phi))
+    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos_h))))
+
+
+def raw_visibility(objects: DataFrame, site: Site, key: str = "id") -> DataFrame:
+    """(obj_id, ra, dec, day, alt, obj_pts): altitudes on the daily grid and horizon crossings of each object and day.
+
+    Coordinates are carried to the equinox of the day. One narrow pass without a
+    shuffle. What needs no single altitudes should come from ``daily_records``.
+    """
+    sky = sky_days(objects.sparkSession, site).select("day", "noon", "lst")
+    rows = _object_days(objects, sky, site, key)
+    alt = F.transform("lst", lambda t: ephem.altitude(t, F.col("ra_d"), F.col("dec_d"), site.lat))
+    return rows.select("obj_id", "ra", "dec", "day", alt.alias("alt"), "obj_pts")
+
+
+def _sky_of_days(spark: SparkSession, site: Site) -> DataFrame:
+    """The sky of each day with what the Sun and Moon decide alone: dusk and dawn, dark runs, running counts without Moon."""
+    midnight = F.unix_micros(F.col("day").cast("timestamp_ntz").cast("timestamp"))
+    stamp = lambda h: F.timestamp_micros(midnight + F.round(h * 3.6e9).cast("long"))
+    sky = materialize(sky_days(spark, site).withColumn("over", F.transform("sun_alt", lambda s: s - site.sun_limit)), "sky")
+    found = crossings(F.col("over"), lambda x: stamp(START_HOUR + x * SPACING))
+    mean = F.aggregate("over", F.lit(0.0), lambda a, x: a + x)
+    none = F.when(mean > 0, F.array(stamp(F.lit(START_HOUR)), stamp(F.lit(START_HOUR)))).otherwise(F.array().cast("array<timestamp>"))
+    dark = F.transform("over", lambda s: s < 0)
+    moonless = F.zip_with("over", "moon_alt", lambda s, m: ((s < 0) & (m < 0)).cast("int"))
+    sky = materialize(sky.withColumns({"sun_pts": F.when(F.size(found) > 0, found).otherwise(none), "dark": dark, "moonless": moonless}), "sky")
+    runs = F.transform(segments(F.col("dark"), 1.0), lambda s: F.struct(s["start"].cast("int").alias("i"), (s["end"] - 1).cast("int").alias("j")))
+    sums = F.aggregate("moonless", F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+    return materialize(sky.select("day", "noon", "lst", "sun_pts", runs.alias("dark"), sums.alias("moonless")), "sky")
+
+
+def daily_records(objects: DataFrame, site: Site, key: str = "id") -> DataFrame:
+    """The daily record of each object, equal to ``daily_visibility(raw_visibility(objects))``, without an altitude for each sample.
+
+    The samples above the least altitude are runs around the upper transits.
+    Their ends follow from the hour angle of that altitude and are settled by the
+    samples beside them; hours are then counts over the overlap with dark runs.
+    Rows are objects times days, computed by a few dozen operations each; only
+    the sky of the year is broadcast, at most 366 rows.
+    """
+    rows = _object_days(objects, _sky_of_days(objects.sparkSession, site), site, key)
+    rows = rows.withColumns({"half": _half_arc(site.min_alt, site), "ha": F.pmod(F.get("lst", F.lit(0)) - F.col("ra_d") + 180.0, F.lit(360.0)) - 180.0})
+    rate, last = 360.98564736629 / 24.0 * SPACING, SAMPLES - 1
+
+    def alt(i: Column) -> Column:
+        return ephem.altitude(F.get("lst", i), F.col("ra_d"), F.col("dec_d"), site.lat)
+
+    def above(i: Column) -> Column:
+        return (i >= 0) & (i <= last) & F.coalesce(alt(i) > site.min_alt, F.lit(False))
+
+    def run(turn: int) -> Column:
+        x, y = (F.col("ha") * -1 - F.col("half") + 360.0 * turn) / rate, (F.col("ha") * -1 + F.col("half") + 360.0 * turn) / rate
+        f = F.greatest(F.floor(x).cast("int"), F.lit(0))
+        g = F.least(F.ceil(y).cast("int"), F.lit(last))
+        i = F.when(above(f), f).when(above(f + 1), f + 1).otherwise(f + 2)
+        j = F.when(above(g), g).when(above(g - 1), g - 1).otherwise(g - 2)
+        return F.struct(i.alias("i"), j.alias("j"))
+
+    turns = (-1, 0, 1)
+    rows = rows.withColumn("runs", F.array(*(run(t) for t in turns)))
+    always = F.array(F.struct(F.lit(0).alias("i"), F.lit(last).alias("j")))
+    runs = F.filter("runs", lambda r: (r["i"] <= r["j"]) & (r["i"] <= last) & (r["j"] >= 0) & above(r["i"]))
+    empty = F.array().cast("array<struct<i:int,j:int>>")
+    rows = rows.withColumn("runs", F.when(F.col("half") >= 180.0, always).when(F.col("half") <= 0.0, empty).otherwise(runs))
+
+    def joined(acc: Column, r: Column) -> Column:
+        # runs that touch are one
+        before = F.element_at(acc, -1)
+        touching = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(before["i"].alias("i"), r["j"].alias("j"))))
+        return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["j"] + 1 >= r["i"]), touching).otherwise(F.array_append(acc, r))
+
+    rows = rows.withColumn("runs", F.aggregate("runs", empty, joined))
+    overlaps = F.flatten(
+        F.transform("runs", lambda r: F.transform("dark", lambda d: F.struct(F.greatest(r["i"], d["i"]).alias("i"), F.least(r["j"], d["j"]).alias("j"))))
     )
+    rows = rows.withColumn("overlaps", F.filter(overlaps, lambda o: o["i"] <= o["j"]))
+    n = F.aggregate("overlaps", F.lit(0), lambda a, o: a + o["j"] - o["i"] + 1)
+    m = F.aggregate("overlaps", F.lit(0), lambda a, o: a + F.get("moonless", o["j"] + 1) - F.get("moonless", o["i"]))
+    peaks = [F.floor((F.col("ha") * -1 + 360.0 * t) / rate).cast("int") + b for t in turns for b in (0, 1)]
+    peaks = F.filter(F.array(F.lit(0), F.lit(last), *peaks), lambda i: (i >= 0) & (i <= last))
+    top = F.array_max(F.transform(peaks, lambda i: F.struct(alt(i).alias("alt"), (-i).alias("minus"))))
+    return rows.select(
+        "obj_id", "day", "sun_pts", "obj_pts", (-top["minus"] * STEP).alias("transit_rel"), (n * STEP).alias("q_hours"), (m * STEP).alias("m_hours"),
+        F.transform("overlaps", lambda o: F.struct((o["i"] * STEP).alias("start"), ((o["j"] + 1) * STEP).alias("end"))).alias("qual_segments"),
+        ephem.utc_offset_hours(F.col("day"), site.tz).alias("tz_offset"),
+    )
 
 
 def daily_visibility(raw: DataFrame, site: Site) -> DataFrame:
@@ -169,14 +256,8 @@ def daily_visibility(raw: DataFrame, site: Site) -> DataFrame:
     of the Sun's limit; without one, 14:00 twice where the Sun is above it on
     average, else none.
     """
-    midnight = F.unix_micros(F.col("day").cast("timestamp_ntz").cast("timestamp"))
-    stamp = lambda h: F.timestamp_micros(midnight + F.round(h * 3.6e9).cast("long"))
-    sky = sky_days(raw.sparkSession, site).select("day", "sun_alt", "moon_alt", F.transform("sun_alt", lambda s: s - site.sun_limit).alias("over"))
-    sky = materialize(sky, "sky")
-    found = crossings(F.col("over"), lambda x: stamp(START_HOUR + x * SPACING))
-    mean = F.aggregate("over", F.lit(0.0), lambda a, x: a + x)
-    none = F.when(mean > 0, F.array(stamp(F.lit(START_HOUR)), stamp(F.lit(START_HOUR)))).otherwise(F.array().cast("array<timestamp>"))
-    sky = sky.select("day", "sun_alt", "moon_alt", F.when(F.size(found) > 0, found).otherwise(none).alias("sun_pts"))
+    sky = _sky_of_days(raw.sparkSession, site).select("day", "sun_pts")
+    sky = sky.join(sky_days(raw.sparkSession, site).select("day", "sun_alt", "moon_alt"), "day")
     rows = raw.join(F.broadcast(sky), "day")
     quality = F.zip_with("alt", "sun_alt", lambda a, s: (a > site.min_alt) & (s < site.sun_limit))
     rows = rows.withColumn("quality", quality)

@@ -178,7 +178,7 @@ _DAILY = f"""
 
 @query(f"WITH {_DAILY} SELECT id AS obj_id, day, round(transit_rel, 6) AS transit_rel, round(q_hours, 6) AS q_hours, round(m_hours, 6) AS m_hours FROM d")
 def q_daily_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = visibility.daily_visibility(visibility.raw_visibility(table(spark, sf_dir, "vis_objects"), SITE), SITE)
+    daily = visibility.daily_records(table(spark, sf_dir, "vis_objects"), SITE)
     return daily.select("obj_id", "day", *(F.round(c, 6).alias(c) for c in ("transit_rel", "q_hours", "m_hours")))
 
 
@@ -187,7 +187,7 @@ def q_daily_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, CAST(month AS INTEGER) AS month, round(q, 6) AS best_q_hours FROM best"""
 )
 def q_monthly_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = visibility.daily_visibility(visibility.raw_visibility(table(spark, sf_dir, "vis_objects"), SITE), SITE)
+    daily = visibility.daily_records(table(spark, sf_dir, "vis_objects"), SITE)
     return plan.monthly_best(daily).select("id", "month", F.round("best_q_hours", 6).alias("best_q_hours"))
 
 
