@@ -21,7 +21,7 @@ from asterweave.runtime import materialize, number, small_side
 #: Levels of the grid that a cover may use. Bands at level L are 180 / 2^L degrees high.
 LEVELS = (2, 4, 6, 8, 10, 12, 14)
 #: A cover is refined until cells are this many times smaller than the region.
-FINENESS = 10
+FINENESS = 4
 
 
 def _parts(level: int, band: int) -> int:
