@@ -175,6 +175,7 @@ def whole_number(text: Column) -> Column:
     return F.coalesce(F.trim(text).try_cast("double").try_cast("int").cast("string"), F.lit(""))
 
 
-def params_hash(*values: Column) -> Column:
-    """MD5 of numbers with six decimals, joined by a bar."""
-    return F.md5(F.concat_ws("|", *(F.format_string("%.6f", v.cast("double")) for v in values)))
+def params_hash(*values: Column, year: Column | None = None) -> Column:
+    """MD5 of numbers with six decimals, and a year without any, joined by a bar."""
+    parts = [F.format_string("%.6f", v.cast("double")) for v in values]
+    return F.md5(F.concat_ws("|", *parts, *([] if year is None else [year.cast("int").cast("string")])))

@@ -432,11 +432,11 @@ def q_messier_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, md5(printf('%.6f', o_totalprice) || '|' || printf('%.6f', CAST(o_custkey AS DOUBLE)) || '|' || printf('%.6f', CAST(2026 AS DOUBLE))) AS hash
+    """SELECT o_orderkey, md5(printf('%.6f', o_totalprice) || '|' || printf('%.6f', CAST(o_custkey AS DOUBLE)) || '|2026') AS hash
     FROM orders"""
 )
 def q_params_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = text.params_hash(F.col("o_totalprice"), F.col("o_custkey"), F.lit(2026))
+    h = text.params_hash(F.col("o_totalprice"), F.col("o_custkey"), year=F.lit(2026))
     return table(spark, sf_dir, "orders").select("o_orderkey", h.alias("hash"))
 
 

@@ -191,12 +191,23 @@ def q_monthly_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.monthly_best(daily).select("id", "month", F.round("best_q_hours", 6).alias("best_q_hours"))
 
 
-@query()
+@query(
+    f"""WITH days AS (SELECT unnest(generate_series(DATE '{SITE.year}-01-01', DATE '{SITE.year}-12-31', INTERVAL 1 DAY))::DATE AS day),
+    n AS (SELECT day, CAST(date_diff('day', DATE '1970-01-01', day) AS DOUBLE) + 2440588.0 AS jd FROM days WHERE day(day) <= 28),
+    p AS (SELECT day, radians({sun_sql('jd')[0]}) AS a1, radians({sun_sql('jd')[1]}) AS d1, radians({moon_sql('jd')[0]}) AS a2, radians({moon_sql('jd')[1]}) AS d2 FROM n),
+    s AS (SELECT day, degrees(2 * asin(least(1, sqrt(pow(sin((d2 - d1) / 2), 2) + cos(d1) * cos(d2) * pow(sin((a2 - a1) / 2), 2))))) AS sep FROM p)
+    SELECT CAST(month(day) AS INTEGER) AS month, arg_min(day, (sep, day)) AS day, round(min(sep), 3) AS separation FROM s GROUP BY 1"""
+)
 def q_darkest_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.darkest_day(spark, SITE.year).select("month", "day", F.round("separation", 3).alias("separation"))
 
 
-@query()
+@query(
+    f"""WITH days AS (SELECT unnest(generate_series(DATE '{SITE.year}-01-01', DATE '{SITE.year}-12-31', INTERVAL 1 DAY))::DATE AS day),
+    s AS (SELECT day, CAST(date_diff('day', DATE '1970-01-01', day) AS DOUBLE) + 2440587.5 + i * (5.0::DOUBLE / 1440) AS jd FROM days, generate_series(0, 287) g(i)),
+    n AS (SELECT day, count_if({alt_sql(f"{mod360(gmst_sql('jd') + f' + {SITE.lon}')}", sun_sql('jd')[0], sun_sql('jd')[1])} < {SITE.sun_limit}) * 5 AS n FROM s GROUP BY day)
+    SELECT day, CAST(n // 60 AS INTEGER) AS hours, CAST(n % 60 AS INTEGER) AS minutes FROM n"""
+)
 def q_night_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.night_lengths(spark, SITE)
 
@@ -328,9 +339,9 @@ def q_nights_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.nights_over(per_day, 3)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def q_anti_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    done = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey")
     return cache.missing_keys(table(spark, sf_dir, "customer"), done, ["c_custkey"]).select("c_custkey")
 
 
