@@ -3,10 +3,11 @@
 Candidates come from blocks: grid cells of the sky, each record being copied over
 the edge as far as positions may differ, and MinHash bands over names and
 designations, which reach farther. A logistic classifier judges each pair by
-distance, magnitudes, sizes and types. It learns from weak labels: pairs that
+distance, magnitudes and sizes. It learns from weak labels: pairs that
 share a name or designation against distinct objects of one source. How much
-names and designations tell is then learned over all candidates by expectation
-maximization, together with the share of matches, which calibrates the odds.
+names, designations and the types of both sources tell is then learned over all
+candidates by expectation maximization, together with the share of matches, which
+calibrates the odds. Third records bear witness for or against a pair.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterweave.functions import sky
-from asterweave.functions.stated import catalog_code, is_nothing, stated_mag, stated_size
+from asterweave.functions.stated import TYPE_CODES, catalog_code, is_nothing, stated_mag, stated_size, type_code
 from asterweave.operators.unpack import QUOTED, parse, unquoted
 from asterweave.runtime import materialize, small_side
 
@@ -32,6 +34,10 @@ TRAIN_PAIRS = 60_000
 UNIT = float(np.log(60.0))
 #: The least squared error of a position, in arcmin.
 LEAST_VARIANCE = 0.03**2
+#: Pairs below this probability count as this probability when third records are asked.
+UNLIKELY = 0.001
+#: Pairs of kinds (catalogue and type) are believed to be like all others with the weight of so many pairs.
+KIND_BELIEF = 20.0
 FEATURES = 18
 
 
@@ -53,7 +59,7 @@ def records(df: DataFrame) -> DataFrame:
     ra, dec = sky.usable_ra(F.col("ra")), sky.usable_dec(F.col("dec"))
     x, y, z = sky.unit_vector(ra, dec)
     ident = F.regexp_replace(F.regexp_replace(F.lower("id"), r"[^\p{L}\p{N}]", ""), r"(?<=\p{L})0+(?=\d)", "")
-    own = ["row_id", "catalog", "id", "ra", "dec", "mag", "size", "common_names", "extra_info"]
+    own = ["row_id", "catalog", "type", "id", "ra", "dec", "mag", "size", "common_names", "extra_info"]
     rows = df.select(*own).withColumns({"__names": _dialect("common_names"), "__marks": _dialect("extra_info")})
     return rows.where(F.col("row_id").isNotNull() & ra.isNotNull() & dec.isNotNull()).select(
         "row_id",
@@ -62,6 +68,7 @@ def records(df: DataFrame) -> DataFrame:
         x.alias("x"), y.alias("y"), z.alias("z"),
         stated_mag(F.col("mag")).alias("mag"),
         F.log(stated_size(F.col("size"))).alias("size"),
+        F.when(type_code(F.col("type")).isin(*{c.upper() for c in TYPE_CODES}), type_code(F.col("type"))).otherwise("").alias("kind"),
         _texts("common_names", F.col("__names"), '"').alias("names"),
         _texts("extra_info", F.col("__marks"), r'[\s"]').alias("marks"),
     )
@@ -87,7 +94,7 @@ def candidate_pairs(rows: DataFrame, reach: float = REACH_ARCMIN) -> DataFrame:
     """Pairs of records ``a`` and ``b`` (a.row_id < b.row_id after ordering) from all blocks, each once, with ``sep``."""
     r = sky.chord(reach)
     side = 4 * r
-    whole = F.struct("row_id", "cat", "ident", "x", "y", "z", "mag", "size", "names", "marks")
+    whole = F.struct("row_id", "cat", "ident", "kind", "x", "y", "z", "mag", "size", "names", "marks")
     own = sky.cell_of(F.col("x"), F.col("y"), F.col("z"), side)
     corners = [sky.cell_of(F.col("x") + i * r, F.col("y") + j * r, F.col("z") + k * r, side) for i in (-1, 1) for j in (-1, 1) for k in (-1, 1)]
     # Copies go to cells of lower number only, so that each pair meets once.
@@ -124,11 +131,12 @@ def compared(pairs: DataFrame) -> DataFrame:
     swap = F.col("a.row_id") > F.col("b.row_id")
     lo, hi = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
     ds = F.abs(F.col("a.size") - F.col("b.size"))
+    kinds = F.array_join(F.array_sort(F.array(*(F.concat_ws(" ", f"{p}.cat", f"{p}.kind") for p in "ab"))), " | ")
     return pairs.select(
         lo["row_id"].alias("row_id_a"), hi["row_id"].alias("row_id_b"), lo["cat"].alias("cat_a"), hi["cat"].alias("cat_b"),
         lo["ident"].alias("ident_a"), hi["ident"].alias("ident_b"), "sep",
         F.abs(F.col("a.mag") - F.col("b.mag")).alias("dm"), F.least(ds, F.abs(ds - UNIT)).alias("ds"),
-        _agreement("names").alias("names"), _agreement("marks").alias("marks"),
+        _agreement("names").alias("names"), _agreement("marks").alias("marks"), kinds.alias("kinds"),
     )
 
 
@@ -161,29 +169,65 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
 
 @dataclass
 class Evidence:
-    """Log odds: a shift for the share of matches, and what names and designations add by their agreement."""
+    """Log odds: a shift for the share of matches, and what names, designations and kinds add by their agreement."""
 
     shift: float
     names: list[float]
     marks: list[float]
+    kinds: dict[str, float]
 
 
-def fit_evidence(logit: np.ndarray, names: np.ndarray, marks: np.ndarray, count: np.ndarray, trained_share: float, rounds: int = 25) -> Evidence:
-    """Expectation maximization over a histogram of candidates."""
-    shift, tables = 0.0, [[0.0, 0.0, 0.0], [0.0, 0.0, 0.0]]
+def fit_evidence(bins: pd.DataFrame, trained_share: float, rounds: int = 25) -> Evidence:
+    """Expectation maximization over a histogram of candidates (logit, names, marks, kinds, n)."""
+    logit, count = bins["logit"].to_numpy(float), bins["n"].to_numpy(float)
+    states = {c: bins[c].to_numpy(int) for c in ("names", "marks")}
+    place, kinds = pd.factorize(bins["kinds"])
+    tables, by_kind, shift = {"names": [0.0] * 3, "marks": [0.0] * 3}, np.zeros(len(kinds)), 0.0
     if not count.sum():
-        return Evidence(shift, *tables)
+        return Evidence(shift, tables["names"], tables["marks"], {})
+    usual = np.bincount(place, count, len(kinds)) / count.sum()
     for _ in range(rounds):
-        total = logit + shift + np.array(tables[0])[names] + np.array(tables[1])[marks]
+        total = logit + shift + by_kind[place] + sum(np.array(tables[c])[states[c]] for c in states)
         p = 1 / (1 + np.exp(-np.clip(total, -30, 30)))
         share = np.clip((p * count).sum() / count.sum(), 0.01, 0.99)
         shift = float(np.log(share / (1 - share)) - np.log(trained_share / (1 - trained_share)))
-        for t, states in ((0, names), (1, marks)):
-            both, shared = states > 0, states == 2
+        for c, state in states.items():
+            both, shared = state > 0, state == 2
             m = ((p * count)[shared].sum() + 1) / ((p * count)[both].sum() + 2)
             u = (((1 - p) * count)[shared].sum() + 1) / (((1 - p) * count)[both].sum() + 2)
-            tables[t] = [0.0, float(np.log((1 - m) / (1 - u))), float(np.log(m / u))]
-    return Evidence(shift, *tables)
+            tables[c] = [0.0, float(np.log((1 - m) / (1 - u))), float(np.log(m / u))]
+        m, u = (np.bincount(place, w * count, len(kinds)) for w in (p, 1 - p))
+        by_kind = np.log((m + KIND_BELIEF * usual + 1e-9) / (m.sum() + KIND_BELIEF)) - np.log((u + KIND_BELIEF * usual + 1e-9) / (u.sum() + KIND_BELIEF))
+    return Evidence(shift, tables["names"], tables["marks"], dict(zip(kinds, by_kind.tolist(), strict=True)))
+
+
+def consistent(scored: DataFrame) -> DataFrame:
+    """``scored`` with odds revised by third records, since being the same object is transitive.
+
+    Given that a third record c is like a with probability p and like b with q,
+    a and b agree with the odds of both or neither being so against exactly one
+    or neither. The strongest witness for a pair and the strongest against it
+    count. A record of the catalogue of a or b is no witness, as it is not
+    compared with its own.
+    """
+    likely = scored.where(F.col("odds") > float(np.log(10 * UNLIKELY)))
+    p = F.greatest(F.lit(UNLIKELY), F.least(F.lit(1 - UNLIKELY), 1 / (1 + F.exp(-F.col("odds")))))
+    one = likely.select(F.col("row_id_a").alias("x"), F.col("row_id_b").alias("c"), F.col("cat_b").alias("cat_c"), p.alias("p"))
+    other = likely.select(F.col("row_id_b").alias("x"), F.col("row_id_a").alias("c"), F.col("cat_a").alias("cat_c"), p.alias("p"))
+    beside = one.union(other)
+    asked = likely.select("row_id_a", "row_id_b", "cat_a", "cat_b")
+    told = None
+    for me in ("a", "b"):
+        seen = asked.join(beside.withColumnRenamed("x", f"row_id_{me}"), f"row_id_{me}")
+        seen = seen.where((F.col("cat_c") != F.col("cat_a")) & (F.col("cat_c") != F.col("cat_b")))
+        seen = seen.select("row_id_a", "row_id_b", "c", F.when(F.lit(me == "a"), F.col("p")).alias("p"), F.when(F.lit(me == "b"), F.col("p")).alias("q"))
+        told = seen if told is None else told.union(seen)
+    pair = ["row_id_a", "row_id_b"]
+    met = told.groupBy(*pair, "c").agg(F.coalesce(F.max("p"), F.lit(UNLIKELY)).alias("p"), F.coalesce(F.max("q"), F.lit(UNLIKELY)).alias("q"))
+    both, neither = F.col("p") * F.col("q"), (1 - F.col("p")) * (1 - F.col("q"))
+    said = F.log((both + neither) / (1 - both))
+    words = met.groupBy(*pair).agg((F.greatest(F.max(said), F.lit(0.0)) + F.least(F.min(said), F.lit(0.0))).alias("witness"))
+    return scored.join(words, pair, "left").withColumn("odds", F.col("odds") + F.coalesce("witness", F.lit(0.0))).drop("witness")
 
 
 def matched_pairs(df: DataFrame, reach: float = REACH_ARCMIN, at_least: float = 0.5, train_pairs: int = TRAIN_PAIRS) -> DataFrame:
@@ -243,17 +287,21 @@ def matched_pairs(df: DataFrame, reach: float = REACH_ARCMIN, at_least: float =
         y = np.array([0.0, 1.0])
     terms = [c * F.lit(float(w)) for c, w in zip(features(F.col("v")), weights, strict=True)]
     logit = sum(terms[1:], terms[0])
-    judged = told.where(cross).select("row_id_a", "row_id_b", "cat_a", "cat_b", "ident_a", "ident_b", "names", "marks", F.greatest(F.lit(-20.0), F.least(logit, F.lit(20.0))).alias("logit"))
+    kept = ["row_id_a", "row_id_b", "cat_a", "cat_b", "ident_a", "ident_b", "names", "marks", "kinds"]
+    judged = told.where(cross).select(*kept, F.greatest(F.lit(-20.0), F.least(logit, F.lit(20.0))).alias("logit"))
 
-    # as many rows as a histogram has bins
-    bins = judged.groupBy((F.round(F.col("logit") * 4) / 4).alias("logit"), "names", "marks").agg(F.count("*").alias("n")).toPandas()
-    seen = fit_evidence(bins["logit"].to_numpy(float), bins["names"].to_numpy(int), bins["marks"].to_numpy(int), bins["n"].to_numpy(float), float(np.clip(y.mean(), 0.01, 0.99)))
+    # as many rows as a histogram has bins: of log odds, agreements, and pairs of known kinds
+    bins = judged.groupBy((F.round(F.col("logit") * 2) / 2).alias("logit"), "names", "marks", "kinds").agg(F.count("*").alias("n")).toPandas()
+    seen = fit_evidence(bins, float(np.clip(y.mean(), 0.01, 0.99)))
+    kinds = spark.createDataFrame(list(seen.kinds.items()), "kinds string, by_kind double")
 
     def told_by(column: str, table: list[float]) -> Column:
         return F.when(F.col(column) == 1, table[1]).when(F.col(column) == 2, table[2]).otherwise(0.0)
 
-    odds = F.col("logit") + seen.shift + told_by("names", seen.names) + told_by("marks", seen.marks)
-    scored = judged.select("row_id_a", "row_id_b", "cat_a", "cat_b", "ident_a", "ident_b", odds.alias("odds")).withColumn("confidence", 1 / (1 + F.exp(-F.col("odds"))))
+    odds = F.col("logit") + seen.shift + told_by("names", seen.names) + told_by("marks", seen.marks) + F.coalesce("by_kind", F.lit(0.0))
+    judged = judged.join(small_side(kinds), "kinds", "left")
+    scored = consistent(materialize(judged.select(*kept[:6], odds.alias("odds")), "scored"))
+    scored = scored.withColumn("confidence", 1 / (1 + F.exp(-F.col("odds"))))
     accepted = materialize(scored.where(F.col("confidence") >= at_least), "accepted")
     out = accepted
     for me, other in (("a", "b"), ("b", "a")):
