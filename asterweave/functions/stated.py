@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from asterweave.runtime import number
 
-# The object type codes of the public OpenNGC guide, then those of the other catalogues.
+# The object type codes of the public NGC guide, then those of the other catalogues.
 TYPE_CODES = (
     "*", "**", "*Ass", "OCl", "GCl", "Cl+N", "G", "GPair", "GTrpl", "GGroup", "PN", "HII",
     "DrkN", "EmN", "Neb", "RfN", "SNR", "Nova", "NonEx", "Dup", "Other",

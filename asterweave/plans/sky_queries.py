@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterweave.functions import ephem
-from asterweave.operators import cache, plan, runs, visibility
+from asterweave.operators import cache, pages, plan, runs, visibility
 from asterweave.operators.visibility import SAMPLES, SPACING, STEP, Site
 from asterweave.plans.catalog_queries import plan_weight_sql
 from asterweave.plans.problems import table
@@ -432,3 +432,12 @@ def q_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_tz_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.days_of_year(spark, SITE.year).select("day", ephem.utc_offset_hours(F.col("day"), SITE.tz).alias("tz_offset"))
+
+
+@query()
+def q_object_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = table(spark, sf_dir, "vis_objects").where("selected is not null")
+    return pages.object_pages(objects, visibility.daily_records(objects, SITE)).select(
+        "id", "page", "title", "type_label", "designations", F.col("month_best.day").alias("month_day"), F.col("year_best.day").alias("year_day"),
+        F.round("year_best.m_hours", 6).alias("m_hours"), F.size("year_best.segments").alias("segments"),
+    )
