@@ -1,7 +1,8 @@
 """Missing values filled from similar records, by label propagation.
 
 Rows are linked to the groups they belong to: the patch of sky, kind and plate,
-kind and time, kind. Values spread over these links: a group's value is the mean
+kind and time, kind. A row without a type has no kind, so types spread over the
+catalogue in place of the kind. Values spread over these links: a group's value is the mean
 (of types: the distribution) over its rows, a missing cell's the weighted mean
 over its groups; observed cells stay as they are. This equals spreading over all
 pairs of rows within a group, without forming a pair.
@@ -18,6 +19,8 @@ from asterweave.runtime import discard, materialize, small_side
 
 #: Groups in the order of their likeness, with the weight of a link and the rows at which it has half of it.
 FAMILIES = {"patch": (16.0, 0.2), "plate": (2.0, 4.0), "month": (1.0, 8.0), "kind": (0.5, 16.0), "all": (0.01, 1.0)}
+#: The key by which types spread over a family, where it is another one.
+TYPE_KEYS = {"plate": "cat_plate", "month": "cat_month", "kind": "cat"}
 #: Side of a patch of sky, in arcmin.
 PATCH_ARCMIN = 1.5
 #: Weight of an estimated value against an observed one.
@@ -30,7 +33,8 @@ def _keys(df: DataFrame) -> DataFrame:
     side = PATCH_ARCMIN / 60.0
     band = F.floor((dec + 90.0) / side)
     along = F.floor(ra * F.greatest(F.cos(F.radians(band * side - 90.0)), F.lit(0.0)) / side)
-    kind = F.coalesce(type_code(F.col("type")), F.concat(F.lit("?"), F.coalesce(catalog_code(F.col("catalog")), F.lit(""))))
+    cat = F.coalesce(catalog_code(F.col("catalog")), F.lit(""))
+    kind = F.coalesce(type_code(F.col("type")), F.concat(F.lit("?"), cat))
     month = F.date_format(F.col("updated_at"), "yyyy-MM")
     return df.select(
         F.col("row_id"),
@@ -38,6 +42,9 @@ def _keys(df: DataFrame) -> DataFrame:
         F.when(F.col("plate").isNotNull(), F.xxhash64(kind, F.col("plate"))).alias("plate"),
         F.when(month.isNotNull(), F.xxhash64(kind, month)).alias("month"),
         F.xxhash64(kind).alias("kind"),
+        F.when(F.col("plate").isNotNull(), F.xxhash64(cat, F.col("plate"))).alias("cat_plate"),
+        F.when(month.isNotNull(), F.xxhash64(cat, month)).alias("cat_month"),
+        F.xxhash64(cat).alias("cat"),
         F.lit(0).cast("long").alias("all"),
         stated_mag(F.col("mag")).alias("mag"),
         # sizes spread over orders of magnitude: their mean is geometric
@@ -96,29 +103,29 @@ def _numbers(rows: DataFrame, rounds: int) -> DataFrame:
 
 def _types(rows: DataFrame, rounds: int) -> DataFrame:
     """(row_id, type_fill, type_share) of the rows that lack a type: the likeliest one and its share."""
-    families = [f for f in FAMILIES if f != "kind"]
+    keys = {f: TYPE_KEYS.get(f, f) for f in FAMILIES}
     seen = {
         f: materialize(
-            rows.where(F.col(f).isNotNull() & F.col("type").isNotNull()).groupBy(F.col(f).alias("key"), "type").agg(F.count("*").cast("double").alias("n")),
+            rows.where(F.col(k).isNotNull() & F.col("type").isNotNull()).groupBy(F.col(k).alias("key"), "type").agg(F.count("*").cast("double").alias("n")),
             f"types-{f}",
         )
-        for f in families
+        for f, k in keys.items()
     }
-    open_rows = rows.where("type is null").select("row_id", *families)
+    open_rows = rows.where("type is null").select("row_id", *keys.values())
     state = None
     for _ in range(rounds):
         votes = None
-        for f in families:
+        for f, k in keys.items():
             counts = seen[f]
             if state is not None:
-                est = state.where(F.col(f).isNotNull()).select(F.col(f).alias("key"), F.explode("shares").alias("type", "share"))
+                est = state.where(F.col(k).isNotNull()).select(F.col(k).alias("key"), F.explode("shares").alias("type", "share"))
                 est = est.groupBy("key", "type").agg(F.sum(ESTIMATED * F.col("share")).alias("n"))
                 counts = counts.union(est).groupBy("key", "type").agg(F.sum("n").alias("n"))
             # a group's distribution: as many entries as there are types
             dist = counts.groupBy("key").agg(F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("dist"))
-            if f == "all":
-                dist = small_side(dist, 1)
-            met = open_rows.select("row_id", F.col(f).alias("key")).join(dist, "key")
+            if f in ("kind", "all"):
+                dist = small_side(dist, 20_000)
+            met = open_rows.select("row_id", F.col(k).alias("key")).join(dist, "key")
             vote = met.select("row_id", F.explode("dist").alias("type", "n"), "rows").select(
                 "row_id", "type", (_weight(f, F.col("rows")) * F.col("n") / F.col("rows")).alias("w")
             )

@@ -30,6 +30,21 @@ def test_fills_come_from_like_rows_and_observed_stay(catalog):
     assert got[21].type == "PN" and got[21].type_filled and got[21].mag == pytest.approx(8.0, abs=0.3)
 
 
+def test_types_come_from_the_catalogue_without_sky_neighbours(catalog):
+    def day(year):
+        return dt.datetime(year, 1, 1)
+
+    # most rows are galaxies; an untyped row is like those of its catalogue, first of its plate, then of its month
+    rows = [{"row_id": i, "type": "G", "catalog": "pgc", "plate": "P1", "updated_at": day(2020)} for i in range(60)]
+    rows += [{"row_id": 100 + i, "type": "DN", "catalog": "ldn", "plate": "P1", "updated_at": day(2020)} for i in range(8)]
+    rows += [{"row_id": 200 + i, "type": "PN", "catalog": "ngc", "plate": "P2", "updated_at": day(2021)} for i in range(8)]
+    rows += [{"row_id": 300 + i, "type": "OCl", "catalog": "ngc", "plate": "P3", "updated_at": day(2022)} for i in range(8)]
+    rows += [{"row_id": 900, "catalog": " LDN ", "plate": "P1", "ra": 10.0, "dec": 5.0}, {"row_id": 901, "catalog": "ldn", "plate": "new"}]
+    rows += [{"row_id": 902, "catalog": "ngc", "plate": "P2"}, {"row_id": 903, "catalog": "ngc", "updated_at": day(2022)}, {"row_id": 904, "plate": "P1"}]
+    got = {r.row_id: r.type for r in fill_missing(catalog(*rows)).where("row_id >= 900").collect()}
+    assert got == {900: "DN", 901: "DN", 902: "PN", 903: "OCL", 904: "G"}
+
+
 def test_edges(catalog):
     assert fill_missing(catalog()).count() == 0
     # nothing to learn from: flagged, still null; extra columns of clashing names do no harm
