@@ -2,7 +2,8 @@
 
 Rows are linked to the groups they belong to: the patch of sky, kind and plate,
 kind and time, kind. A row without a type has no kind, so types spread over the
-catalogue in place of the kind. Values spread over these links: a group's value is the mean
+catalogue in place of the kind. Patches are cells of four grids, shifted by half a
+cell, so that rows up to half a cell apart share one wherever edges lie. Values spread over these links: a group's value is the mean
 (of types: the distribution) over its rows, a missing cell's the weighted mean
 over its groups; observed cells stay as they are. This equals spreading over all
 pairs of rows within a group, without forming a pair.
@@ -10,6 +11,8 @@ pairs of rows within a group, without forming a pair.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,24 +24,41 @@ from asterweave.runtime import discard, materialize, small_side
 FAMILIES = {"patch": (16.0, 0.2), "plate": (2.0, 4.0), "month": (1.0, 8.0), "kind": (0.5, 16.0), "all": (0.01, 1.0)}
 #: The key by which types spread over a family, where it is another one.
 TYPE_KEYS = {"plate": "cat_plate", "month": "cat_month", "kind": "cat"}
-#: Side of a patch of sky, in arcmin.
+#: Side of a patch of sky, in arcmin. Rows within half of it are always linked.
 PATCH_ARCMIN = 1.5
+#: Grids of patches; each has an equal part of the family's weight.
+GRIDS = 4
 #: Weight of an estimated value against an observed one.
 ESTIMATED = 0.25
 
 
+def _patches(ra: Column, dec: Column) -> Column:
+    """The cell of a position in each grid.
+
+    A band of declination has a whole number of cells, so that shifted ones wrap
+    around; they are so wide that rows half a side apart are at most half a cell
+    apart, at the poles too.
+    """
+    side, cells = PATCH_ARCMIN / 60.0, []
+    for up in (0.0, 0.5):
+        band = F.floor((dec + 90.0) / side + up)
+        low = (band - up) * side - 90.0
+        narrow = F.greatest(F.least(F.cos(F.radians(low)), F.cos(F.radians(low + side))), F.lit(1e-9))
+        width = F.degrees(4 * F.asin(F.least(F.lit(1.0), math.sin(math.radians(side / 4)) / narrow)))
+        n = F.greatest(F.floor(360.0 / width), F.lit(1))
+        cells += [F.xxhash64(F.lit(len(cells) + i), band, F.pmod(F.floor(ra / 360.0 * n + along), n)) for i, along in enumerate((0.0, 0.5))]
+    return F.array(*cells)
+
+
 def _keys(df: DataFrame) -> DataFrame:
     """The group keys of each row; a null key links to nothing."""
     ra, dec = sky.usable_ra(F.col("ra")), sky.usable_dec(F.col("dec"))
-    side = PATCH_ARCMIN / 60.0
-    band = F.floor((dec + 90.0) / side)
-    along = F.floor(ra * F.greatest(F.cos(F.radians(band * side - 90.0)), F.lit(0.0)) / side)
     cat = F.coalesce(catalog_code(F.col("catalog")), F.lit(""))
     kind = F.coalesce(type_code(F.col("type")), F.concat(F.lit("?"), cat))
     month = F.date_format(F.col("updated_at"), "yyyy-MM")
     return df.select(
         F.col("row_id"),
-        F.when(ra.isNotNull() & dec.isNotNull(), F.xxhash64(band, along)).alias("patch"),
+        F.when(ra.isNotNull() & dec.isNotNull(), _patches(ra, dec)).alias("patch"),
         F.when(F.col("plate").isNotNull(), F.xxhash64(kind, F.col("plate"))).alias("plate"),
         F.when(month.isNotNull(), F.xxhash64(kind, month)).alias("month"),
         F.xxhash64(kind).alias("kind"),
@@ -53,6 +73,11 @@ def _keys(df: DataFrame) -> DataFrame:
     )
 
 
+def _key(family: str, column: str | None = None) -> Column:
+    """The keys of a family's groups, one for each grid of patches."""
+    return (F.explode(column or family) if family == "patch" else F.col(column or family)).alias("key")
+
+
 def _linked(df: DataFrame, stats: DataFrame, family: str, value: Column) -> DataFrame:
     """``df`` with the statistics of the row's group; kinds and the whole are few, which is checked."""
     side = stats.select(F.col("key").alias(family), value.alias(f"of_{family}"))
@@ -62,15 +87,27 @@ def _linked(df: DataFrame, stats: DataFrame, family: str, value: Column) -> Data
 
 def _weight(family: str, rows: Column) -> Column:
     most, half = FAMILIES[family]
+    most = most / GRIDS if family == "patch" else most
     return F.when(rows > 0, most * rows / (rows + half)).otherwise(0.0)
 
 
+def _near(open_rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """(row_id, of_patch): the weights of a row's patches and their weighted means, summed over the grids."""
+    told = [w for c in ("mag", "size") for w in (f"{c}_w", f"{c}_m")]
+    each = stats.select("key", *(x for c in ("mag", "size") for x in (
+        _weight("patch", F.col(f"{c}_n")).alias(f"{c}_w"),
+        (_weight("patch", F.col(f"{c}_n")) * F.coalesce(F.col(f"{c}_s") / F.nullif(F.col(f"{c}_n"), F.lit(0.0)), F.lit(0.0))).alias(f"{c}_m"),
+    )))
+    met = open_rows.select("row_id", _key("patch")).join(each, "key").groupBy("row_id").agg(*(F.sum(w).alias(w) for w in told))
+    return met.select("row_id", F.struct(*told).alias("of_patch"))
+
+
 def _numbers(rows: DataFrame, rounds: int) -> DataFrame:
     """(row_id, mag_fill, size_fill) of the rows that lack a number."""
     sums = [F.sum(f).alias(f"{f}_s") for f in ("mag", "size")] + [F.count(f).cast("double").alias(f"{f}_n") for f in ("mag", "size")]
     names = ["mag_s", "size_s", "mag_n", "size_n"]
     seen = {
-        f: materialize(rows.where(F.col(f).isNotNull()).groupBy(F.col(f).alias("key")).agg(*sums), f"seen-{f}") for f in FAMILIES
+        f: materialize(rows.where(F.col(f).isNotNull()).select(_key(f), "mag", "size").groupBy("key").agg(*sums), f"seen-{f}") for f in FAMILIES
     }
     open_rows = rows.where("mag is null or size is null")
     state = None
@@ -79,18 +116,22 @@ def _numbers(rows: DataFrame, rounds: int) -> DataFrame:
         for f in FAMILIES:
             stats = seen[f]
             if state is not None:
-                est = state.where(F.col(f).isNotNull()).groupBy(F.col(f).alias("key")).agg(
+                est = state.where(F.col(f).isNotNull()).select(_key(f), "mag_fill", "size_fill").groupBy("key").agg(
                     *(F.sum(ESTIMATED * F.col(f"{c}_fill")).alias(f"{c}_s") for c in ("mag", "size")),
                     *(F.sum(F.when(F.col(f"{c}_fill").isNotNull(), ESTIMATED).otherwise(0.0)).alias(f"{c}_n") for c in ("mag", "size")),
                 )
                 stats = stats.union(est.select("key", *names)).groupBy("key").agg(*(F.sum(n).alias(n) for n in names))
-            linked = _linked(linked, stats, f, F.struct(*names))
+            if f == "patch":
+                linked = linked.join(_near(open_rows, stats), "row_id", "left")
+            else:
+                linked = _linked(linked, stats, f, F.struct(*names))
 
         def fill(c: str) -> Column:
-            weights = [_weight(f, F.coalesce(F.col(f"of_{f}.{c}_n"), F.lit(0.0))) for f in FAMILIES]
-            means = [F.coalesce(F.col(f"of_{f}.{c}_s") / F.col(f"of_{f}.{c}_n"), F.lit(0.0)) for f in FAMILIES]
-            total = sum(weights[1:], weights[0])
-            mean = sum((w * m for w, m in zip(weights[1:], means[1:], strict=True)), weights[0] * means[0])
+            groups = [f for f in FAMILIES if f != "patch"]
+            weights = [_weight(f, F.coalesce(F.col(f"of_{f}.{c}_n"), F.lit(0.0))) for f in groups]
+            means = [F.coalesce(F.col(f"of_{f}.{c}_s") / F.nullif(F.col(f"of_{f}.{c}_n"), F.lit(0.0)), F.lit(0.0)) for f in groups]
+            total = sum(weights, F.coalesce(F.col(f"of_patch.{c}_w"), F.lit(0.0)))
+            mean = sum((w * m for w, m in zip(weights, means, strict=True)), F.coalesce(F.col(f"of_patch.{c}_m"), F.lit(0.0)))
             # observed cells are clamped: only missing ones take an estimate
             return F.when(F.col(c).isNull() & (total > 0), mean / F.nullif(total, F.lit(0.0))).alias(f"{c}_fill")
 
@@ -106,7 +147,7 @@ def _types(rows: DataFrame, rounds: int) -> DataFrame:
     keys = {f: TYPE_KEYS.get(f, f) for f in FAMILIES}
     seen = {
         f: materialize(
-            rows.where(F.col(k).isNotNull() & F.col("type").isNotNull()).groupBy(F.col(k).alias("key"), "type").agg(F.count("*").cast("double").alias("n")),
+            rows.where(F.col(k).isNotNull() & F.col("type").isNotNull()).select(_key(f, k), "type").groupBy("key", "type").agg(F.count("*").cast("double").alias("n")),
             f"types-{f}",
         )
         for f, k in keys.items()
@@ -118,14 +159,14 @@ def _types(rows: DataFrame, rounds: int) -> DataFrame:
         for f, k in keys.items():
             counts = seen[f]
             if state is not None:
-                est = state.where(F.col(k).isNotNull()).select(F.col(k).alias("key"), F.explode("shares").alias("type", "share"))
+                est = state.where(F.col(k).isNotNull()).select(_key(f, k), "shares").select("key", F.explode("shares").alias("type", "share"))
                 est = est.groupBy("key", "type").agg(F.sum(ESTIMATED * F.col("share")).alias("n"))
                 counts = counts.union(est).groupBy("key", "type").agg(F.sum("n").alias("n"))
             # a group's distribution: as many entries as there are types
             dist = counts.groupBy("key").agg(F.sum("n").alias("rows"), F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("dist"))
             if f in ("kind", "all"):
                 dist = small_side(dist, 20_000)
-            met = open_rows.select("row_id", F.col(k).alias("key")).join(dist, "key")
+            met = open_rows.select("row_id", _key(f, k)).join(dist, "key")
             vote = met.select("row_id", F.explode("dist").alias("type", "n"), "rows").select(
                 "row_id", "type", (_weight(f, F.col("rows")) * F.col("n") / F.col("rows")).alias("w")
             )

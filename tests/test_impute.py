@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 
 import pytest
 
@@ -45,6 +47,25 @@ def test_types_come_from_the_catalogue_without_sky_neighbours(catalog):
     assert got == {900: "DN", 901: "DN", 902: "PN", 903: "OCL", 904: "G"}
 
 
+def test_every_row_within_the_radius_is_reached(catalog):
+    # pairs 0.6 arcmin apart in any direction, over cell edges, the wrap and the poles: one of each states type and magnitude
+    rnd, rows = random.Random(2), []
+    places = [(rnd.uniform(0, 360), rnd.uniform(-89, 89)) for _ in range(60)]
+    places += [(0.001, d) for d in (-60.0, 0.0, 45.0)] + [(rnd.uniform(0, 360), s * (90 - rnd.uniform(0, 5) / 60)) for s in (-1, 1) for _ in range(25)]
+    for i, (ra, dec) in enumerate(places):
+        turn, a, d = rnd.uniform(0, 2 * math.pi), math.radians(ra), math.radians(dec)
+        step = math.radians(0.6 / 60)
+        east, north = (-math.sin(a), math.cos(a), 0.0), (-math.sin(d) * math.cos(a), -math.sin(d) * math.sin(a), math.cos(d))
+        at = (math.cos(d) * math.cos(a), math.cos(d) * math.sin(a), math.sin(d))
+        x, y, z = (math.cos(step) * p + math.sin(step) * (math.cos(turn) * e + math.sin(turn) * n) for p, e, n in zip(at, east, north, strict=True))
+        rows += [{"row_id": i, "ra": ra, "dec": dec, "mag": 5.0, "type": "PN"}]
+        rows += [{"row_id": 1000 + i, "ra": math.degrees(math.atan2(y, x)), "dec": math.degrees(math.asin(z)), "catalog": "ldn"}]
+    rows += [{"row_id": 5000 + i, "mag": 15.0, "type": "DN", "catalog": "ldn"} for i in range(300)]
+    rows += [{"row_id": 6000 + i, "mag": 15.0, "catalog": "ldn"} for i in range(300)]
+    got = fill_missing(catalog(*rows)).where("row_id between 1000 and 4999").collect()
+    assert len(got) == len(places) and all(r.type == "PN" and r.mag < 9.0 for r in got)
+
+
 def test_edges(catalog):
     assert fill_missing(catalog()).count() == 0
     # nothing to learn from: flagged, still null; extra columns of clashing names do no harm
