@@ -210,7 +210,8 @@ def consistent(scored: DataFrame) -> DataFrame:
     count. A record of the catalogue of a or b is no witness, as it is not
     compared with its own.
     """
-    likely = scored.where(F.col("odds") > float(np.log(10 * UNLIKELY)))
+    # the strongest witness multiplies odds by about 1 / (2 UNLIKELY): no pair it can lift over even odds is left out
+    likely = scored.where(F.col("odds") > float(np.log(UNLIKELY)))
     p = F.greatest(F.lit(UNLIKELY), F.least(F.lit(1 - UNLIKELY), 1 / (1 + F.exp(-F.col("odds")))))
     one = likely.select(F.col("row_id_a").alias("x"), F.col("row_id_b").alias("c"), F.col("cat_b").alias("cat_c"), p.alias("p"))
     other = likely.select(F.col("row_id_b").alias("x"), F.col("row_id_a").alias("c"), F.col("cat_a").alias("cat_c"), p.alias("p"))

@@ -1,7 +1,7 @@
 import math
 import random
 
-from asterweave.llm.match import fit_logistic, matched_pairs
+from asterweave.llm.match import consistent, fit_logistic, matched_pairs
 
 CATS = {"ngc": 0.06, "pgc": 0.05, "ldn": 0.2, "sh2": 0.15}
 
@@ -67,3 +67,9 @@ def test_logistic_regression():
     x = np.c_[np.ones(4000), rng.normal(size=4000)]
     y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 1])))).astype(float)
     assert np.allclose(fit_logistic(x, y), [0.5, 2.0], atol=0.2)
+
+
+def test_a_certain_witness_lifts_an_unlikely_pair(spark):
+    rows = [(1, 2, "a", "b", math.log(0.004)), (1, 3, "a", "c", 10.0), (2, 3, "b", "c", 10.0)]
+    got = consistent(spark.createDataFrame(rows, "row_id_a long, row_id_b long, cat_a string, cat_b string, odds double")).collect()
+    assert {(r.row_id_a, r.row_id_b) for r in got if r.odds > 0} == {(1, 2), (1, 3), (2, 3)}
