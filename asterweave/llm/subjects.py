@@ -16,6 +16,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,11 @@ def fold(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", text.lower().translate(_FOLDED)) if not unicodedata.combining(c))
 
 
+@lru_cache(maxsize=10_000)
+def _fold_one(character: str) -> str:
+    return fold(character)
+
+
 def stems(sentence: str) -> list[str]:
     """The words of a sentence as stems, without designations and numbers."""
     return [w[:STEM] for w in _WORD.findall(fold(_NAME.sub(" ", sentence)))]
@@ -78,11 +84,13 @@ class Splitter:
     def _restore(self, piece: str) -> list[str]:
         if self.missing is None:
             return [piece]
-        # search folded text; folding keeps places where it keeps the length
-        folded = fold(piece)
-        if len(folded) != len(piece):
-            return [piece]
-        cuts = [m.end() for m in self.missing.finditer(folded)]
+        if piece.isascii():
+            cuts = [m.end() for m in self.missing.finditer(piece.lower())]
+        else:
+            # search folded text; a character folds to none or several, so that places are mapped back
+            parts = [_fold_one(c) for c in piece]
+            at = [i for i, part in enumerate(parts) for _ in part]
+            cuts = [at[m.end()] for m in self.missing.finditer("".join(parts))]
         return [piece[a:b] for a, b in zip([0, *cuts], [*cuts, len(piece)], strict=True)]
 
 

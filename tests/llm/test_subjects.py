@@ -49,6 +49,12 @@ def test_sentences():
     assert [s for _, s in cut] == ["Dear all,", "One two three.", "Four five (again)", "Update: six seven...", "On page 12: Eight 5. mai nine!"]
 
 
+def test_sentences_part_where_folding_changes_the_length():
+    cut = Splitter(["update:"])
+    for first in ("Eine große Straße", "Wait… it rose", "Cafe\u0301 closed", "Stra\u00dfe cafe\u0301"):
+        assert [s for _, s in cut.cut(f"{first} Update: six seven.")] == [first, "Update: six seven."]
+
+
 def test_learns_which_functions_are_right():
     rng = np.random.default_rng(0)
     truth = rng.integers(0, 3, 5000)
