@@ -27,6 +27,8 @@ from asterweave.runtime import materialize, small_side
 
 #: At most so many labelled documents train the lexicon, the first by a hash of their ids.
 TRAIN_DOCS = 20_000
+#: More rows of subject areas are an error.
+MOST_AREAS = 1000
 #: Words and phrases are hashed to so many features.
 FEATURES = 1 << 16
 #: A function votes if its likeliest class has this probability.
@@ -277,7 +279,9 @@ def subject_shares(docs: DataFrame, labels: DataFrame, areas: DataFrame, train_d
     for itself; other columns are ignored.
     """
     spark = docs.sparkSession
-    area_rows = areas.where("subject is not null").select("subject", "description").limit(1000).collect()
+    area_rows = areas.where("subject is not null").select("subject", "description").limit(MOST_AREAS + 1).collect()
+    if len(area_rows) > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} subject areas")
     subjects = sorted({r.subject for r in area_rows})
     known = small_side(labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")))
     taught = docs.select("doc_id", "text", "source").where("text is not null").join(known, "doc_id").orderBy(F.xxhash64("doc_id")).limit(train_docs)

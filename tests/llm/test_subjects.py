@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from asterweave.llm.subjects import Splitter, learn_accuracies, subject_shares, subjects_of
 
@@ -44,6 +45,12 @@ def test_without_labels_or_documents(spark):
     assert subject_shares(docs.limit(0), labels, areas).count() == 0
 
 
+def test_too_many_subjects_are_an_error(spark):
+    docs, labels, _, _ = frames(spark, n=2)
+    with pytest.raises(ValueError):
+        subject_shares(docs, labels, spark.range(1001).selectExpr("cast(id as string) as subject", "'x' as description"))
+
+
 def test_sentences():
     cut = Splitter(["update:", "on page 9:"]).cut("[2020-01-01 10:00 UT] NGC 7\n== B12 ==\nDear all,\n\nOne two three. Four five (again) Update: six seven... On page 12: Eight 5. mai nine!")
     assert [s for _, s in cut] == ["Dear all,", "One two three.", "Four five (again)", "Update: six seven...", "On page 12: Eight 5. mai nine!"]
