@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterweave.runtime import number
@@ -24,6 +26,12 @@ NOTHING_WORDS = (
 MAG_RANGE = (-30.0, 40.0)
 #: An angular size is positive and at most half the sky's circumference, in arcmin.
 MAX_SIZE = 10_800.0
+# What catalogues customarily write for an unknown size, where it could be one.
+SIZE_FILLERS = (999.0, 9999.0)
+#: Beyond so many arcmin, a quarter of the sky, such a value needs no repetition to be a filler.
+WIDE_SIZE = 5_400.0
+#: Positions at which a smaller one must stand.
+FILLER_PLACES = 3
 
 
 def blank_trim(text: Column) -> Column:
@@ -37,12 +45,6 @@ def is_nothing(text: Column) -> Column:
     return F.coalesce(~t.rlike(r"[\p{L}\p{N}*]") | t.isin(*NOTHING_WORDS), F.lit(True))
 
 
-def all_nines(x: Column) -> Column:
-    """True for fillers written with one repeated digit 9, of three places or more (999, 9999.0, 99.99)."""
-    digits = F.regexp_replace(F.abs(x).try_cast("decimal(20,4)").cast("string"), r"\.?0+$", "")
-    return F.coalesce(F.regexp_replace(digits, r"\.", "").rlike(r"^9{3,}$"), F.lit(False))
-
-
 def stated_mag(mag: Column) -> Column:
     """The magnitude, or null where the cell states none.
 
@@ -53,15 +55,35 @@ def stated_mag(mag: Column) -> Column:
     return F.when(x.between(*MAG_RANGE), x)
 
 
-def stated_size(size: Column) -> Column:
+def size_fillers(df: DataFrame, size: str = "size") -> list[float]:
+    """The values of ``SIZE_FILLERS`` that only stand for "nothing" in this table.
+
+    A filler stands out by repetition: it is met more often than all other sizes
+    within one percent of it together, repeated deliveries (one position)
+    counting once. A real size, even of nines, is no more frequent than its
+    neighbours. One pass over the table; one row comes back. ``df`` also has
+    ``ra`` and ``dec``. An empty table has no fillers.
+    """
+    x = number(F.col(size))
+    at = F.xxhash64("ra", "dec")
+    counts = [F.count_distinct(F.when(c, at)) for f in SIZE_FILLERS for c in (x == f, x.between(0.99 * f, 1.01 * f) & (x != f))]
+    near = F.greatest(*(F.lit(0.01) - F.abs(x / f - 1) for f in SIZE_FILLERS)) >= 0
+    met = df.where(near).select(F.array(*counts)).first()[0]
+    return [
+        f for f, n, beside in zip(SIZE_FILLERS, met[::2], met[1::2], strict=True)
+        if n > beside and (f > WIDE_SIZE or n >= FILLER_PLACES)
+    ]
+
+
+def stated_size(size: Column, fillers: Sequence[float] = ()) -> Column:
     """The size in the unit it was written in, or null where the cell states none.
 
-    Null, NaN, infinite, zero and negative sizes are none, and so are fillers of
-    repeated nines and anything wider than half the sky. A size in a wrong unit
-    is a value.
+    Null, NaN, infinite, zero and negative sizes are none, and so are the
+    ``fillers`` of the table and anything wider than half the sky. A size in a
+    wrong unit is a value.
     """
     x = number(size)
-    return F.when((x > 0) & (x <= MAX_SIZE) & ~all_nines(x), x)
+    return F.when((x > 0) & (x <= MAX_SIZE) & ~x.isin(*fillers), x)
 
 
 def type_code(kind: Column) -> Column:

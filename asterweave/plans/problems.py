@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from asterweave.functions.stated import NOTHING_WORDS, TYPE_CODES
 from asterweave.operators.impute import fill_missing, filled_cells
 from asterweave.operators.regions import regions_of_points
 from asterweave.operators.unpack import unpack_fields
@@ -23,6 +23,13 @@ def p4_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_missing(table(spark, sf_dir, "katalog_astro_full"))
 
 
+def p4_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays as observed in the filled table, with the flags of what was filled."""
+    filled = p4_filled(spark, sf_dir)
+    kept = (F.when(~F.col(f"{c}_filled"), F.round(c, 6) if c != "type" else F.col(c)).alias(c) for c in ("mag", "size", "type"))
+    return filled.select("row_id", *kept, "mag_filled", "size_filled", "type_filled")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions_of_points(table(spark, sf_dir, "katalog_astro_full"), table(spark, sf_dir, "sky_field"))
 
@@ -31,24 +38,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack_fields(table(spark, sf_dir, "katalog_astro_full"), ["extra_info", "common_names"], at_least=2)
 
 
-QUERIES = {"p4_found": p4_found, "p4_filled": p4_filled, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p4_found": p4_found, "p4_filled": p4_filled, "p4_clamped": p4_clamped, "p5_found": p5_found, "p6_found": p6_found}
 
-_words = ", ".join(f"'{w}'" for w in NOTHING_WORDS)
-_codes = ", ".join(f"'{c.upper()}'" for c in TYPE_CODES)
-_num = "try_cast({0} AS DOUBLE)"
+# Written out here, not taken from the code under test.
+_LACKS_MAG = "mag IS NULL OR isnan(mag) OR NOT mag BETWEEN -30 AND 40"
+_LACKS_SIZE = "size IS NULL OR isnan(size) OR size <= 0 OR size > 10800 OR size = 9999"
+_LACKS_TYPE = """type IS NULL OR upper(trim(type)) NOT IN ('*', '**', '*ASS', 'OCL', 'GCL', 'CL+N', 'G', 'GPAIR', 'GTRPL', 'GGROUP',
+    'PN', 'HII', 'DRKN', 'EMN', 'NEB', 'RFN', 'SNR', 'NOVA', 'NONEX', 'DUP', 'OTHER', 'GX', 'NB', 'DN', 'LDN', 'RCW', 'GXYP')
+  AND (NOT regexp_matches(type, '[a-zA-Z0-9*]') OR lower(trim(type)) IN ('nan', 'none', 'null', 'n/a', 'unk'))"""
 
 ORACLES = {
     "p4_found": f"""
-        SELECT row_id, 'mag' AS field FROM katalog_astro_full
-        WHERE mag IS NULL OR isnan(mag) OR NOT mag BETWEEN -30 AND 40
-        UNION ALL
-        SELECT row_id, 'size' FROM katalog_astro_full
-        WHERE size IS NULL OR isnan(size) OR size <= 0 OR size > 10800
-           OR regexp_matches(replace(rtrim(rtrim(printf('%.4f', size), '0'), '.'), '.', ''), '^9{{3,}}$')
-        UNION ALL
-        SELECT row_id, 'type' FROM katalog_astro_full
-        WHERE type IS NULL OR NOT upper(trim(type)) IN ({_codes})
-          AND (NOT regexp_matches(type, '[a-zA-Z0-9*]') OR lower(trim(type)) IN ({_words}))""",
+        SELECT row_id, 'mag' AS field FROM katalog_astro_full WHERE {_LACKS_MAG}
+        UNION ALL SELECT row_id, 'size' FROM katalog_astro_full WHERE {_LACKS_SIZE}
+        UNION ALL SELECT row_id, 'type' FROM katalog_astro_full WHERE {_LACKS_TYPE}""",
+    "p4_clamped": f"""
+        SELECT row_id, CASE WHEN NOT ({_LACKS_MAG}) THEN round(mag, 6) END AS mag, CASE WHEN NOT ({_LACKS_SIZE}) THEN round(size, 6) END AS size,
+          CASE WHEN NOT ({_LACKS_TYPE}) THEN upper(trim(type)) END AS type,
+          ({_LACKS_MAG}) AS mag_filled, ({_LACKS_SIZE}) AS size_filled, ({_LACKS_TYPE}) AS type_filled
+        FROM katalog_astro_full""",
     "p5_found": """
         WITH k AS (
           SELECT row_id, ((ra % 360) + 360) % 360 AS ra, dec FROM katalog_astro_full
