@@ -13,6 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asterweave.functions.stated import is_nothing
 from asterweave.runtime import materialize, small_side
 
 #: Delimiters by bit of a dialect's mask, as regular expressions.
@@ -82,6 +83,17 @@ def _well_formed(value: Column) -> Column:
     return ~value.contains('"') | (_enclosed(value) & ~inner.contains('"'))
 
 
+def finest_dialect(text: Column) -> Column:
+    """All delimiters, and quotes where they are balanced: its parse holds a value if any parse does."""
+    return F.when(_balanced(text), F.lit(2 * QUOTED - 1)).otherwise(QUOTED - 1)
+
+
+def holds_value(text: Column) -> Column:
+    """Whether a packed text has at least one value that is not a word for nothing."""
+    dialect = finest_dialect(text)
+    return F.coalesce(F.exists(parse(text, dialect), lambda v: ~is_nothing(unquoted(v, dialect))), F.lit(False))
+
+
 def _tokens(value: Column) -> Column:
     """The words and signs of a value, each with the sign before it, or ^ at the start, as its context."""
     found = F.regexp_extract_all(value, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}\s]"), F.lit(0))
