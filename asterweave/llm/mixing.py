@@ -9,94 +9,114 @@ has its tokens.
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Mapping
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asterweave.functions.stated import blank_trim
 from asterweave.runtime import materialize, small_side
 
-#: A language or topic with a smaller share of the tokens counts as "other" in its marginal.
-LEAST_SHARE = 0.005
-#: Buckets of draw order in which the tokens of a source are summed before its cut is set.
+#: Buckets of draw order in which the tokens of a source are summed before its cut is set, twice.
 BUCKETS = 4096
+#: More combinations of source, language and topic are an error: the driver rakes them.
+MOST_CELLS = 2_000_000
+
+LOG = logging.getLogger(__name__)
 
 
-def rake(tokens: np.ndarray, axes: list[np.ndarray], wanted: list[np.ndarray], caps: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Weights of cells with ``tokens`` so that sums along each axis come near ``wanted``.
+def rake(
+    tokens: np.ndarray, axes: list[np.ndarray], wanted: list[np.ndarray], caps: np.ndarray, tolerance: float = 1e-4, rounds: int = 1000
+) -> tuple[np.ndarray, list[float]]:
+    """(weights, residuals) of cells with ``tokens`` so that sums along each axis come near ``wanted``.
 
     ``axes`` gives each cell's place on each axis, the first being the one to be
     met exactly where its caps allow: it is fitted last, the rest that capped
-    cells can't take going to those below their caps.
+    cells can't take going to those below their caps. Fitting ends when no
+    weight changes by more than ``tolerance`` of its cap. The residual of an axis
+    is the sum of what its places miss, relative to all that is wanted; caps and
+    marginals that contradict each other leave one.
     """
     weights = np.minimum(np.ones(len(tokens)), caps)
-
-    def fit(axis: np.ndarray, goal: np.ndarray, exact: bool) -> None:
-        for place in range(len(goal)):
-            own = np.flatnonzero((axis == place) & (tokens > 0) & (caps > 0))
-            if not own.size:
-                continue
-            if not exact:
-                now = (weights[own] * tokens[own]).sum()
-                if now > 0 and goal[place] > 0:
-                    weights[own] = np.minimum(caps[own], weights[own] * goal[place] / now)
-                continue
-            weights[own] = np.maximum(weights[own], 1e-12)
-            for _ in range(60):
-                full = weights[own] >= caps[own]
-                free = own[~full]
-                left = goal[place] - (caps[own[full]] * tokens[own[full]]).sum()
-                now = (weights[free] * tokens[free]).sum()
-                if not free.size or now <= 0 or abs(now - left) <= 1e-9 * max(1.0, goal[place]):
-                    break
-                weights[free] = np.minimum(caps[free], weights[free] * max(left, 0.0) / now)
-
-    for _ in range(rounds):
+    usable = (tokens > 0) & (caps > 0)
+
+    def scale(axis: np.ndarray, goal: np.ndarray) -> None:
+        now = np.bincount(axis, weights * tokens, len(goal))
+        factor = np.divide(goal, now, out=np.ones(len(goal)), where=now > 0)
+        weights[usable] = np.minimum(caps, weights * factor[axis])[usable]
+
+    def fit(axis: np.ndarray, goal: np.ndarray) -> None:
+        weights[usable] = np.maximum(weights[usable], 1e-12)
+        for _ in range(60):
+            full = usable & (weights >= caps)
+            left = np.maximum(goal - np.bincount(axis[full], (caps * tokens)[full], len(goal)), 0.0)
+            free = usable & ~full
+            now = np.bincount(axis[free], (weights * tokens)[free], len(goal))
+            if np.all((now <= 0) | (np.abs(now - left) <= 1e-9 * np.maximum(1.0, goal))):
+                break
+            factor = np.divide(left, now, out=np.ones(len(goal)), where=now > 0)
+            weights[free] = np.minimum(caps, weights * factor[axis])[free]
+
+    for n in range(rounds):
+        before = weights.copy()
         for axis, goal in zip(axes[1:], wanted[1:], strict=True):
-            fit(axis, goal, exact=False)
-        fit(axes[0], wanted[0], exact=True)
-    return weights
+            scale(axis, goal)
+        fit(axes[0], wanted[0])
+        change = float((np.abs(weights - before) / np.maximum(caps, 1e-12)).max(initial=0.0))
+        if change <= tolerance:
+            break
+    missed = [float(np.abs(np.bincount(x, weights * tokens, len(g)) - g).sum() / max(g.sum(), 1e-12)) for x, g in zip(axes, wanted, strict=True)]
+    LOG.info("raked in %d rounds, last change %g, residuals %s", n + 1, change, missed)
+    return weights, missed
+
 
+def normal_lang(lang: Column) -> Column:
+    """The letters that a language tag begins with, in lower case; "und" if it has none, "none" if it is null."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim(lang)), "^([a-z]+)", 1), F.lit("und")), F.lit("none"))
 
-def _common(df: DataFrame, column: str, total: int) -> list[str]:
-    """The values of a column with at least LEAST_SHARE of the tokens: at most 1 / LEAST_SHARE of them."""
-    sums = df.groupBy(column).agg(F.sum("tokens").alias("t")).where(F.col("t") >= LEAST_SHARE * total)
-    return sorted(r[0] for r in sums.collect())
 
+def _goals(sums: pd.Series, targets: Mapping[str, float] | None) -> dict[str, float]:
+    """The share wanted of each value: its target, relative to all targets that have tokens, or else the share it has."""
+    wanted = {v: max(0.0, targets.get(v, 0.0)) for v in sums.index} if targets else sums.to_dict()
+    total = sum(wanted.values())
+    return {v: w / total for v, w in wanted.items()} if total > 0 else (sums / sums.sum()).to_dict()
 
-def mixed(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0) -> DataFrame:
+
+def mixed(
+    docs: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 0,
+    langs: Mapping[str, float] | None = None, topics: Mapping[str, float] | None = None,
+) -> DataFrame:
     """(doc_id, source, tokens, copies) of every document that is drawn.
 
     ``docs`` has (doc_id, source, lang, topic, tokens); ``targets`` has (source,
     target_share, max_repeat). Sources are compared without case and outer white
     space; target shares count relative to their sum over the sources that have
-    tokens, and repeated target rows add up their shares with the lowest cap.
+    tokens, and repeated target rows add up their shares with the lowest cap. A
+    null share is 0, a null ``max_repeat`` means that nothing is repeated.
+    ``langs`` and ``topics`` are target shares of languages and topics; without
+    them the shares that these have among the target sources are kept. All are
+    raked, however small; sources come first where they contradict each other.
     ``budget`` is the number of tokens to draw; without it, the most for which
     every such source can reach its share within its cap. With a larger budget a
     source gives at most its tokens times ``max_repeat`` and falls short.
     Documents without tokens, or of a source that is null or has no target, are
     not drawn; the same seed draws the same documents.
-    """
+    """
     name = F.lower(blank_trim(F.col("source")))
     t = targets.where(name.isNotNull()).groupBy(name.alias("s")).agg(
-        F.sum(F.greatest(F.col("target_share"), F.lit(0.0))).alias("share"), F.min(F.greatest(F.col("max_repeat"), F.lit(0))).alias("cap")
+        F.sum(F.greatest(F.col("target_share"), F.lit(0.0))).alias("share"), F.min(F.greatest(F.coalesce("max_repeat", F.lit(1)), F.lit(0))).alias("cap")
     )
     known = docs.where("tokens > 0").select(
-        "doc_id", "source", name.alias("s"), "tokens",
-        F.coalesce(F.nullif(F.regexp_extract(F.lower(F.trim("lang")), "^([a-z]+)", 1), F.lit("und")), F.lit("none")).alias("lang"),
-        F.coalesce(F.col("topic"), F.lit("none")).alias("topic"),
-    )
+        "doc_id", "source", name.alias("s"), "tokens", normal_lang(F.col("lang")).alias("lang"), F.coalesce(F.col("topic"), F.lit("none")).alias("topic")
+    )
     known = known.join(small_side(t.where("share > 0 and cap > 0")), "s")
-    total = known.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    langs, topics = _common(known, "lang", total), _common(known, "topic", total)
-    known = known.select(
-        "doc_id", "source", "s", "tokens", "cap", "share",
-        F.when(F.col("lang").isin(langs), F.col("lang")).otherwise("other").alias("lang"),
-        F.when(F.col("topic").isin(topics), F.col("topic")).otherwise("other").alias("topic"),
-    )
-    # at most sources x 201 languages x 201 topics
-    cells = known.groupBy("s", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.first("cap").alias("cap"), F.first("share").alias("share")).toPandas()
-    cells = cells.sort_values(["s", "lang", "topic"]).reset_index(drop=True)
+    cells = known.groupBy("s", "lang", "topic").agg(F.sum("tokens").alias("tokens"), F.first("cap").alias("cap"), F.first("share").alias("share"))
+    cells = cells.limit(MOST_CELLS + 1).toPandas().sort_values(["s", "lang", "topic"]).reset_index(drop=True)
+    if len(cells) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} combinations of source, language and topic")
     if cells.empty:
         return known.select("doc_id", "source", "tokens", F.lit(0).alias("copies"))
     sources = cells.groupby("s").agg(tokens=("tokens", "sum"), cap=("cap", "first"), share=("share", "first"))
@@ -104,15 +124,17 @@ def mixed(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed:
     reach = sources["cap"] * sources["tokens"]
     size = float(budget) if budget is not None else float((reach / sources["share"]).min())
     sources["want"] = np.minimum(reach, size * sources["share"])
+    all_wanted = sources["want"].sum()
 
-    def axis(column: str, goals: dict[str, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        sums = cells.groupby(column)["tokens"].sum()
-        place = {v: i for i, v in enumerate(sums.index)}
-        goal = np.array([goals[v] for v in sums.index]) if goals else sums.to_numpy(float) / sums.sum() * sources["want"].sum()
-        return cells[column].map(place).to_numpy(), goal
+    def axis(column: str, goals: Mapping[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        values = sorted(goals)
+        place = {v: i for i, v in enumerate(values)}
+        return cells[column].map(place).to_numpy(), np.array([goals[v] for v in values])
 
-    parts = [axis("s", sources["want"].to_dict()), axis("lang"), axis("topic")]
-    cells["weight"] = rake(cells["tokens"].to_numpy(float), [p[0] for p in parts], [p[1] for p in parts], cells["cap"].to_numpy(float))
+    parts = [axis("s", sources["want"].to_dict())]
+    for column, wanted in (("lang", langs), ("topic", topics)):
+        parts.append(axis(column, {v: g * all_wanted for v, g in _goals(cells.groupby(column)["tokens"].sum(), wanted).items()}))
+    cells["weight"], _ = rake(cells["tokens"].to_numpy(float), [p[0] for p in parts], [p[1] for p in parts], cells["cap"].to_numpy(float))
     spark = docs.sparkSession
     weights = spark.createDataFrame(cells[["s", "lang", "topic", "weight"]], "s string, lang string, topic string, weight double")
     wants = spark.createDataFrame([(s, float(w)) for s, w in sources["want"].items()], "s string, want double")
@@ -124,24 +146,29 @@ def mixed(docs: DataFrame, targets: DataFrame, budget: int | None = None, seed:
     order = F.when((rest > 1e-9) & (whole < F.col("cap")), u / rest / (1 + u / rest))
     drawn = materialize(drawn.select("doc_id", "source", "s", "tokens", whole.cast("int").alias("whole"), order.alias("turn")), "weights")
 
-    bucket = F.floor(F.col("turn") * BUCKETS).cast("int")
-    sums = drawn.groupBy("s", bucket.alias("bucket")).agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("whole")).alias("fixed"))
-    # at most BUCKETS + 1 rows for each target source
-    fixed = sums.groupBy("s").agg(F.sum("fixed").alias("fixed"))
-    upto = F.sum("t").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    need = sums.where("bucket is not null").select("s", "bucket", "t", F.coalesce(upto, F.lit(0)).alias("upto")).join(F.broadcast(wants), "s").join(F.broadcast(fixed), "s")
-    cut = need.select("s", "bucket", F.col("upto"), F.col("t"), (F.col("want") - F.col("fixed")).alias("need"))
-    placed = drawn.withColumn("bucket", bucket).join(small_side(cut), ["s", "bucket"], "left")
-    # A bucket wholly below the need is drawn, one above it is not; inside the last one documents go in order.
-    sure = F.col("upto") + F.col("t") <= F.col("need")
-    border = ~sure & (F.col("upto") < F.col("need"))
-    split = placed.where(border)
-    before = F.sum("tokens").over(Window.partitionBy("s").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    # the document over the edge is drawn if that comes nearer to the need
-    nearer = F.col("upto") + F.coalesce(before, F.lit(0)) + F.col("tokens") / 2.0 <= F.col("need")
-    split = split.withColumn("extra", F.when(nearer, 1).otherwise(0)).select("doc_id", "source", "tokens", "whole", "extra")
-    rest_rows = placed.where(F.coalesce(~border, F.lit(True))).select("doc_id", "source", "tokens", "whole", F.when(sure, 1).otherwise(0).alias("extra"))
-    out = split.union(rest_rows).select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).alias("copies"))
+    fixed = drawn.groupBy("s").agg(F.sum(F.col("tokens") * F.col("whole")).alias("fixed"))
+    need = F.broadcast(wants).join(fixed, "s").select("s", (F.col("want") - F.col("fixed")).alias("need"))
+    done, open_rows = drawn.where("turn is null").select("doc_id", "source", "tokens", "whole", F.lit(0).alias("extra")), drawn.where("turn is not null")
+    for level in (1, 2):
+        # the second time the bucket that the cut falls into is cut up itself
+        scale = float(BUCKETS**level)
+        bucket = F.floor(F.col("turn") * scale)
+        sums = open_rows.groupBy("s", bucket.alias("bucket")).agg(F.sum("tokens").alias("t"))
+        # at most BUCKETS + 1 rows for each target source
+        upto = F.coalesce(F.sum("t").over(Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = materialize(sums.select("s", "bucket", "t", upto.alias("upto")).join(need, "s"), "cut")
+        judged = open_rows.withColumn("bucket", bucket).join(small_side(placed), ["s", "bucket"])
+        sure = F.col("upto") + F.col("t") <= F.col("need")
+        border = ~sure & (F.col("upto") < F.col("need"))
+        done = done.union(judged.where(~border).select("doc_id", "source", "tokens", "whole", F.when(sure, 1).otherwise(0).alias("extra")))
+        need = placed.where(border).select("s", (F.col("need") - F.col("upto")).alias("need"))
+        open_rows = judged.where(border).select("doc_id", "source", "s", "tokens", "whole", "turn", (F.col("need") - F.col("upto")).alias("left"))
+        if level == 1:
+            open_rows = open_rows.drop("left")
+    # inside the last bucket documents go in order; the one over the edge is drawn if that comes nearer to the need
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy("s").orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    split = open_rows.select("doc_id", "source", "tokens", "whole", F.when(before + F.col("tokens") / 2.0 <= F.col("left"), 1).otherwise(0).alias("extra"))
+    out = done.union(split).select("doc_id", "source", "tokens", (F.col("whole") + F.col("extra")).alias("copies"))
     return out.where("copies > 0")
 
 
@@ -169,3 +196,21 @@ def shares_reached(drawn: DataFrame, docs: DataFrame, targets: DataFrame) -> Dat
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
     )
 
+
+
+def marginals_reached(drawn: DataFrame, docs: DataFrame) -> DataFrame:
+    """(axis, value, share_before, share): the shares of each language and topic in the documents and in what was drawn.
+
+    ``docs`` has (doc_id, lang, topic, tokens) with unique ids; ``drawn`` is a
+    result of ``mixed``.
+    """
+    both = docs.join(drawn.select("doc_id", "copies"), "doc_id", "left")
+    each = F.array(
+        F.struct(F.lit("lang").alias("axis"), normal_lang(F.col("lang")).alias("value")),
+        F.struct(F.lit("topic").alias("axis"), F.coalesce(F.col("topic"), F.lit("none")).alias("value")),
+    )
+    sums = both.select(F.explode(each).alias("e"), "tokens", (F.col("tokens") * F.coalesce("copies", F.lit(0))).alias("got")).groupBy("e.axis", "e.value")
+    sums = sums.agg(F.sum("tokens").alias("tokens"), F.sum("got").alias("got"))
+    whole = F.sum("tokens").over(Window.partitionBy("axis")), F.sum("got").over(Window.partitionBy("axis"))
+    shares = [F.coalesce(F.col(c) / F.nullif(w, F.lit(0)), F.lit(0.0)) for c, w in zip(("tokens", "got"), whole, strict=True)]
+    return sums.select("axis", "value", shares[0].alias("share_before"), shares[1].alias("share"))

@@ -1,15 +1,16 @@
-"""The best values of each group of duplicate records, field by field.
+"""The best representative of each group of duplicate records.
 
-A record dominates another if it is at least as trusted and at least as recent,
-and better in one of the two; of two records only one of which states a field,
-that one goes first. The undominated records form the first layer, those
-undominated without it the second, and so on. A field takes its value from the
-first layer that states it, by a lexicographic policy inside the layer.
+A record dominates another if it is at least as complete, at least as recent and
+at least as trusted. The undominated records of a group form the first layer (its
+skyline), those undominated without it the second, and so on. The first layer's
+record of best policy survives; what it does not state is filled from the rest
+of the first layer, then from the next layers, by the same policy in each: the
+lowest priority, then the latest date, then the smallest row_id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,50 +19,88 @@ from pyspark.sql import functions as F
 NO_PRIORITY = 2**31 - 1
 
 
-def dominance_layers(records: DataFrame) -> DataFrame:
-    """(group_id, field, row_id, priority, updated_at, layer) of the records that can matter.
+def _versions(members: DataFrame, stated: Sequence[Column], carry: Sequence[str]) -> DataFrame:
+    """(group_id, ladder): of each group the records that can matter, by policy.
 
-    ``records`` has (group_id, field, row_id, priority, updated_at), one row for
-    each record and field that it states. Of the records of one priority only the
-    latest (then the smallest row_id) is kept, by a map-side combined maximum:
-    the others never enter an earlier layer than it. So a group of any size
-    reaches a task as one record for each level of trust.
+    Of the records of one priority that state the same fields only the latest,
+    then that of the smallest row_id, stays, by a map-side combined maximum: the
+    others are superseded by it in all they state. So a group of any size
+    reaches a task as one record for each level of trust and set of fields.
     """
-    latest = F.struct(F.col("updated_at").alias("at"), (-F.col("row_id")).alias("minus_row"))
-    levels = records.withColumn("priority", F.coalesce(F.col("priority"), F.lit(NO_PRIORITY))).groupBy("group_id", "field", "priority").agg(
-        F.max(latest).alias("best")
+    mask = sum((F.when(s, 1 << i).otherwise(0) for i, s in enumerate(stated)), F.lit(0))
+    rows = members.where("row_id is not null").select(
+        "group_id", F.coalesce(F.col("priority"), F.lit(NO_PRIORITY)).alias("priority"), mask.alias("mask"),
+        F.unix_micros(F.col("updated_at").cast("timestamp")).alias("at"), "row_id", F.struct(F.lit(0).alias("__"), *carry).alias("carried"),
     )
-    # struct order puts null dates first, that is, oldest
-    ladder = levels.groupBy("group_id", "field").agg(F.sort_array(F.collect_list(F.struct("priority", "best"))).alias("ladder"))
-    point = "struct<priority:int,at:timestamp,row:bigint,layer:int>"
-    stamp = dict(records.dtypes)["updated_at"]
-    point = point.replace("at:timestamp", f"at:{stamp}")
-    start = F.struct(F.array().cast(f"array<{stamp}>").alias("tops"), F.array().cast(f"array<{point}>").alias("done"))
+    latest = F.struct(F.coalesce("at", F.lit(-(2**63))), -F.col("row_id"))
+    kept = rows.groupBy("group_id", "priority", "mask").agg(F.max_by(F.struct("at", "row_id", "carried"), latest).alias("r"))
+    # struct order is the policy: a null date comes last
+    record = F.struct("priority", -F.coalesce("r.at", F.lit(-(2**63) + 1)), "r.row_id", "mask", "r.carried")
+    named = record.cast(f"struct<priority:int,minus_at:bigint,row_id:bigint,mask:int,carried:{kept.select('r.carried').schema[0].dataType.simpleString()}>")
+    return kept.groupBy("group_id").agg(F.sort_array(F.collect_list(named)).alias("ladder"))
 
-    def place(acc: Column, p: Column) -> Column:
-        # More trusted records came before; p is dominated by a layer whose latest record is as recent.
-        at = p["best"]["at"]
-        layer = F.size(F.filter(acc["tops"], lambda t: F.coalesce(t >= at, at.isNull())))
-        tops = F.concat(F.slice(acc["tops"], F.lit(1), layer), F.array(at), F.slice(acc["tops"], layer + 2, F.size(acc["tops"])))
-        done = F.struct(p["priority"].cast("int").alias("priority"), at.alias("at"), (-p["best"]["minus_row"]).alias("row"), (layer + 1).cast("int").alias("layer"))
-        return F.struct(tops.alias("tops"), F.array_append(acc["done"], done).alias("done"))
 
-    placed = ladder.select("group_id", "field", F.explode(F.aggregate("ladder", start, place, lambda acc: acc["done"])).alias("p"))
-    return placed.select("group_id", "field", F.col("p.row").alias("row_id"), F.col("p.priority"), F.col("p.at").alias("updated_at"), "p.layer")
+def _layered(ladder: Column, kind: str, by_count: bool) -> Column:
+    """The ladder's records with their dominance layer, from 1."""
 
+    def dominates(d: Column, r: Column) -> Column:
+        # d comes earlier in the ladder, so that it is at least as trusted; of one date the smaller row_id counts as the more recent
+        recent = (d["minus_at"] < r["minus_at"]) | ((d["minus_at"] == r["minus_at"]) & (d["row_id"] < r["row_id"]))
+        complete = F.bit_count(d["mask"]) >= F.bit_count(r["mask"]) if by_count else d["mask"].bitwiseAND(r["mask"]) == r["mask"]
+        return recent & complete
 
-def surviving_cells(members: DataFrame, stated: Mapping[str, Column]) -> DataFrame:
-    """(group_id, field, row_id): the record that each group's field takes its value from.
-
-    ``members`` has (row_id, group_id, priority, updated_at) and what the
-    expressions of ``stated`` need, which are true where a record states the
-    field. A field comes from the first layer of the records that state it, and
-    within the layer by policy: the lowest priority, then the latest date, then
-    the smallest row_id. A null priority is least trusted, a null date oldest. A
-    field that no record of a group states gives no row.
+    def place(done: Column, r: Column) -> Column:
+        above = F.transform(F.filter(done, lambda d: dominates(d["r"], r)), lambda d: d["layer"])
+        return F.array_append(done, F.struct((F.coalesce(F.array_max(above), F.lit(0)) + 1).alias("layer"), r.alias("r")))
+
+    return F.aggregate(ladder, F.array().cast(f"array<struct<layer:int,r:{kind}>>"), place)
+
+
+def dominance_layers(members: DataFrame, stated: Mapping[str, Column], by_count: bool = False) -> DataFrame:
+    """(group_id, row_id, layer) of every record that is not superseded by one of its trust that states the same fields."""
+    versions = _versions(members, list(stated.values()), [])
+    kind = versions.schema["ladder"].dataType.elementType.simpleString()
+    placed = versions.select("group_id", F.explode(_layered(F.col("ladder"), kind, by_count)).alias("p"))
+    return placed.select("group_id", F.col("p.r.row_id").alias("row_id"), "p.layer")
+
+
+def surviving_records(members: DataFrame, stated: Mapping[str, Column], carry: Sequence[str] = (), by_count: bool = False) -> DataFrame:
+    """(group_id, row_id, the columns of ``carry``, and for each field {field}_row, {field}_layer, {field}_from) of each group.
+
+    ``members`` has (row_id, group_id, priority, updated_at), the columns of
+    ``carry``, and what the expressions of ``stated`` need, which are true where
+    a record states the field. ``row_id`` is the surviving record and the carried
+    columns are its own. A field's origin is the surviving record if it states
+    it, or else the record that fills it: {field}_row, {field}_layer its layer,
+    and {field}_from its carried columns; all null if no record states it.
+
+    By default a record is as complete as another if it states all fields that
+    that one states. Then the record preferred by policy for a field is never
+    dominated, by anything, and each field has its value from the first layer.
+    With ``by_count`` a record is as complete as another if it states as many
+    fields; a preferred record may then lie in a deeper layer, and a less
+    trusted but undominated one go first. A null priority is least trusted, a
+    null date oldest. Rows with a null ``row_id`` are ignored, and an empty
+    table gives an empty result.
     """
-    tags = F.array_compact(F.array(*(F.when(states, F.lit(name)) for name, states in stated.items())))
-    records = members.select("group_id", "row_id", "priority", "updated_at", F.explode(tags).alias("field"))
-    first = dominance_layers(records).where("layer = 1")
-    policy = F.struct("priority", F.struct(F.col("updated_at").isNull(), -F.unix_micros(F.col("updated_at").cast("timestamp"))), "row_id")
-    return first.groupBy("group_id", "field").agg(F.min_by("row_id", policy).alias("row_id"))
+    versions = _versions(members, list(stated.values()), carry)
+    kind = versions.schema["ladder"].dataType.elementType.simpleString()
+    # by layer, and in each by the ladder's order, which is the policy
+    layered = F.transform(_layered(F.col("ladder"), kind, by_count), lambda p, i: F.struct(p["layer"].alias("layer"), i.alias("i"), p["r"].alias("r")))
+    placed = versions.select("group_id", F.array_sort(layered).alias("placed"))
+    columns = [F.col("first")["r"]["row_id"].alias("row_id"), *(F.col("first")["r"]["carried"][c].alias(c) for c in carry)]
+
+    def states(bit: int) -> Callable[[Column], Column]:
+        return lambda p: p["r"]["mask"].bitwiseAND(bit) > 0
+
+    for i, field in enumerate(stated):
+        own = F.get(F.filter("placed", states(1 << i)), 0)
+        columns += [own["r"]["row_id"].alias(f"{field}_row"), own["layer"].alias(f"{field}_layer"), own["r"]["carried"].alias(f"{field}_from")]
+    return placed.withColumn("first", F.get("placed", 0)).select("group_id", *columns)
+
+
+def surviving_cells(members: DataFrame, stated: Mapping[str, Column]) -> DataFrame:
+    """(group_id, field, row_id): the record that each group's field takes its value from; fields that none states give no row."""
+    best = surviving_records(members, stated)
+    cells = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"{f}_row").alias("row_id")) for f in stated))
+    return best.select("group_id", F.explode(cells).alias("c")).select("group_id", "c.*").where("row_id is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import os
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -158,6 +158,13 @@ def token_ids(docs: DataFrame, key: str = "doc_id", text: str = "text", name: st
     return docs.select(key, text).mapInArrow(encode, f"{key} {kind}, ids array<int>")
 
 
+def counter(name: str = VOCABULARY, folder: str = TOKENIZERS) -> Callable[[str], int]:
+    """A function that gives the number of a text's tokens."""
+    enc = encoder(name, folder)
+    get, slow, pieces = enc.memory.get, enc.ids_of, enc.piece_at.findall
+    return lambda text: sum(len(get(piece) or slow(piece)) for piece in pieces(text))
+
+
 def token_counts(docs: DataFrame, text: str = "text", count: str = "tokens", name: str = VOCABULARY, folder: str = TOKENIZERS) -> DataFrame:
     """The columns of ``docs`` without the text, and the number of its tokens (0 for null and empty texts)."""
     keep = [c for c in docs.columns if c not in (text, count)]

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from asterweave.llm.mixing import mixed, rake, shares_reached
+from asterweave.llm.mixing import marginals_reached, mixed, rake, shares_reached
 
 
 def docs_of(spark, sizes):
@@ -51,6 +51,33 @@ def test_raking_meets_all_marginals():
     tokens = rng.integers(50, 500, 24).astype(float)
     axes = [np.repeat(np.arange(4), 6), np.tile(np.repeat(np.arange(2), 3), 4), np.tile(np.arange(3), 8)]
     wanted = [np.full(4, tokens.sum() / 4), np.bincount(axes[1], tokens), np.bincount(axes[2], tokens)]
-    w = rake(tokens, axes, wanted, np.full(24, 5.0))
+    w, missed = rake(tokens, axes, wanted, np.full(24, 5.0))
+    assert max(missed) < 1e-3
     for axis, goal in zip(axes, wanted, strict=True):
         assert np.allclose(np.bincount(axis, w * tokens), goal, rtol=1e-3)
+
+
+def test_raking_tells_what_it_misses():
+    # one cell for each source and language: their marginals contradict each other, the source comes first
+    tokens, axes = np.array([100.0, 100.0]), [np.array([0, 1]), np.array([0, 1])]
+    w, missed = rake(tokens, axes, [np.array([150.0, 50.0]), np.array([50.0, 150.0])], np.full(2, 5.0))
+    assert np.allclose(w * tokens, [150, 50]) and missed[0] < 1e-6 and missed[1] == pytest.approx(1.0)
+
+
+def test_languages_and_topics_of_any_size_are_raked(spark):
+    # "pl" is rare, and mostly in the source that is drawn less
+    rows = [(i, "a" if i % 2 else "b", "pl" if i % 200 in (0, 2, 1) else "en", ["x", "y"][i % 3 == 0], 100) for i in range(40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
+    targets = targets_of(spark, [("a", 0.8, 1), ("b", 0.2, 1)])
+    drawn = mixed(docs, targets)
+    reached = {(r.axis, r.value): r for r in marginals_reached(drawn, docs).collect()}
+    assert len(reached) == 4
+    assert reached["lang", "pl"].share_before == pytest.approx(0.015) and reached["lang", "pl"].share == pytest.approx(0.015, abs=0.003)
+    wished = {(r.axis, r.value): r.share for r in marginals_reached(mixed(docs, targets, budget=500_000, langs={"pl": 1, "en": 9}, topics={"x": 1, "y": 3}), docs).collect()}
+    assert wished["lang", "pl"] == pytest.approx(0.1, abs=0.01) and wished["topic", "y"] == pytest.approx(0.75, abs=0.02)
+
+
+def test_without_a_cap_nothing_repeats(spark):
+    docs, targets = docs_of(spark, [("a", 50, 100), ("b", 50, 100)]), targets_of(spark, [("a", 0.5, None), ("b", None, 2), ("b", 0.5, 2)])
+    got = {r.source: r for r in shares_reached(mixed(docs, targets, budget=10**9), docs, targets).collect()}
+    assert got["a"].most_copies == 1 and got["b"].most_copies == 2

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from asterweave.llm.subjects import Splitter, learn_accuracies, subject_shares, subjects_of
+from asterweave.llm.subjects import Splitter, fit_lexicon, learn_accuracies, learned_prefixes, share_probability, subject_shares, subjects_of, votes
 
 BAG = {
     "sea": ["The boat left the harbour at dawn.", "A wave broke over the deck.", "Sailors tied the anchor rope.", "Salt water filled the hull."],
@@ -34,7 +34,9 @@ def frames(spark, seed=1, n=120):
 
 def test_finds_subjects(spark):
     docs, labels, areas, truth = frames(spark)
-    got = {(r.doc_id, r.subject) for r in subjects_of(subject_shares(docs, labels, areas)).collect()}
+    rows = subjects_of(subject_shares(docs, labels, areas)).collect()
+    got = {(r.doc_id, r.subject) for r in rows}
+    assert all(0.5 <= r.confidence <= 1 + 1e-9 for r in rows)
     assert {g for g in got if g[0] < 1000} == truth
     assert {g for g in got if g[0] >= 1000} == {(1004, "sea")}
 
@@ -43,6 +45,9 @@ def test_without_labels_or_documents(spark):
     docs, labels, areas, _ = frames(spark, n=6)
     assert subject_shares(docs, labels.limit(0), areas).count() == 11
     assert subject_shares(docs.limit(0), labels, areas).count() == 0
+    # texts are read once for other measures, too; columns are carried along
+    both = subject_shares(docs, labels, areas, keep=("source", "patterns"), measure=lambda: len).collect()
+    assert {(r.doc_id, r.source, r.patterns, r.measured) for r in both} == {(r.doc_id, r.source, 2, len(r.text or "")) for r in docs.collect()}
 
 
 def test_too_many_subjects_are_an_error(spark):
@@ -77,3 +82,24 @@ def test_learns_which_functions_are_right():
     post, accuracy = learn_accuracies(kinds, counts.astype(float), 3)
     assert abs(accuracy[0] - 0.95) < 0.04 and abs(accuracy[1] - 0.8) < 0.04 and abs(accuracy[3] - 0.6) < 0.05
     assert (post.argmax(1)[back] == truth).mean() > 0.94
+
+
+def test_probability_of_a_share():
+    assert share_probability(1, 4, [], 0.25) == 1 and share_probability(1, 5, [], 0.25) == 0 and share_probability(0, 0, [], 0.25) == 0
+    # of four sentences three are sure: the fourth decides
+    assert share_probability(0, 3, [(0.7, 0.2)], 0.25) == pytest.approx(0.7)
+    assert share_probability(1, 4, [(0.0, 0.3)], 0.25) == pytest.approx(0.7)
+    rng = np.random.default_rng(3)
+    unsure = [(0.3, 0.5)] * 40
+    own = rng.multinomial(1, [0.3, 0.5, 0.2], (20_000, 40)).sum(axis=1)
+    assert share_probability(2, 10, unsure, 0.35) == pytest.approx((2 + own[:, 0] >= 0.35 * (10 + own[:, 0] + own[:, 1])).mean(), abs=0.03)
+
+
+def test_designations_are_learned_and_tell_subjects():
+    texts = [f"Wreck Vx{i} lies deep. Wreck Vx{i + 1} is near." for i in range(20)] + [f"Rolls of type qB {i} smell fine. Take qB {i}." for i in range(20)]
+    texts += ["To be or not to be 3 times."] * 5
+    assert learned_prefixes(texts) == ["Vx", "qB"]
+    lessons = [(t, "forum", ["sea"] if "Vx" in t else ["bread"]) for t in texts]
+    lexicon = fit_lexicon(lessons, ["bread", "sea"])
+    pattern, counts = votes(lexicon, Splitter(lexicon.openers, lexicon.prefixes), [("Somebody somewhere recently admired Vx77 indeed.", None), ("Vx 9", None)])
+    assert counts.tolist() == [1, 0] and pattern[0] // 4**2 % 4 == 2
