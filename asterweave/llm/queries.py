@@ -46,12 +46,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _survivors(spark: SparkSession, sf_dir: str, by_count: bool) -> DataFrame:
     own = ("id", "catalog", "type", "ra", "dec", *FIELDS)
     best = surviving_records(*_members(spark, sf_dir, own), own, by_count)
-    values = [x for f in FIELDS for x in (F.col(f"{f}_from")[f].alias(f), f"{f}_row", f"{f}_layer")]
+    values = [x for f in FIELDS for x in (F.col(f"{f}_from")[f].alias(f), F.concat_ws("/", f"{f}_row", f"{f}_layer").alias(f"{f}_origin"))]
     return best.select("group_id", "row_id", *own[:5], *values)
 
 
 def p2_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One surviving record for each group, with the origin of each value, as the statement prefers them."""
+    """One surviving record for each group as the statement prefers them, with the origin of each value (row/layer, empty if none)."""
     return _survivors(spark, sf_dir, by_count=False)
 
 
@@ -143,7 +143,7 @@ _GROUPS = """
 # Written out here, not taken from the code under test.
 _STATED = r"""
     , v AS (
-      SELECT g.group_id, k.*, coalesce(k.priority, 2147483647) AS p, epoch_us(k.updated_at) AS at,
+      SELECT g.group_id, k.*, coalesce(k.priority, 2147483647) AS p, epoch_us(k.updated_at) AS since,
         coalesce(NOT isnan(k.mag) AND k.mag BETWEEN -30 AND 40, false) AS has_mag,
         coalesce(NOT isnan(k.size) AND k.size > 0 AND k.size <= 10800 AND k.size <> 9999, false) AS has_size,
         coalesce(regexp_matches(k.common_names, '\w') AND lower(trim(k.common_names)) NOT IN ('nan', 'none', 'null'), false) AS has_common_names
@@ -153,23 +153,23 @@ _STATED = r"""
 def _survivor_sql(source: str, layer: str) -> str:
     """One row for each group of ``source``: the first record by policy, and the first that states each field."""
     by = f"{layer}, " if layer != "1" else ""
+    order = f"{by}p, since DESC NULLS LAST, row_id"
     fields = ", ".join(
-        f"first({f} ORDER BY {by}p, at DESC NULLS LAST, row_id) FILTER (has_{f}) AS {f}, "
-        f"first(row_id ORDER BY {by}p, at DESC NULLS LAST, row_id) FILTER (has_{f}) AS {f}_row, "
-        f"first({layer} ORDER BY {by}p, at DESC NULLS LAST, row_id) FILTER (has_{f}) AS {f}_layer"
+        f"first({f} ORDER BY {order}) FILTER (has_{f}) AS {f}, "
+        f"coalesce(first(row_id || '/' || {layer} ORDER BY {order}) FILTER (has_{f}), '') AS {f}_origin"
         for f in FIELDS
     )
-    own = ", ".join(f"first({c} ORDER BY {by}p, at DESC NULLS LAST, row_id) AS {c}" for c in ("row_id", "id", "catalog", "type", "ra", "dec"))
+    own = ", ".join(f"first({c} ORDER BY {order}) AS {c}" for c in ("row_id", "id", "catalog", "type", "ra", "dec"))
     return f"SELECT group_id, {own}, {fields} FROM {source} GROUP BY group_id"
 
 
 _LAYERS = """
     , n AS (SELECT *, has_mag::INT + has_size::INT + has_common_names::INT AS stated,
-        row_number() OVER (PARTITION BY group_id, p, has_mag, has_size, has_common_names ORDER BY at DESC NULLS LAST, row_id) AS version FROM v),
+        row_number() OVER (PARTITION BY group_id, p, has_mag, has_size, has_common_names ORDER BY since DESC NULLS LAST, row_id) AS version FROM v),
     r AS (SELECT * FROM n WHERE version = 1),
     dom AS (SELECT a.row_id AS above, b.row_id AS below FROM r a JOIN r b ON a.group_id = b.group_id AND a.row_id <> b.row_id
       AND a.p <= b.p AND a.stated >= b.stated
-      AND (coalesce(a.at, -1e18) > coalesce(b.at, -1e18) OR coalesce(a.at, -1e18) = coalesce(b.at, -1e18) AND a.row_id < b.row_id)),
+      AND (coalesce(a.since, -1e18) > coalesce(b.since, -1e18) OR coalesce(a.since, -1e18) = coalesce(b.since, -1e18) AND a.row_id < b.row_id)),
     chain AS (SELECT row_id, 1 AS layer FROM r UNION SELECT below, layer + 1 FROM chain JOIN dom ON above = row_id),
     depth AS (SELECT row_id, max(layer) AS layer FROM chain GROUP BY row_id),
     d AS (SELECT r.*, depth.layer FROM r JOIN depth USING (row_id))"""
