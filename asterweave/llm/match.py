@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asterweave.functions import sky
-from asterweave.functions.stated import TYPE_CODES, catalog_code, is_nothing, stated_mag, stated_size, type_code
-from asterweave.operators.unpack import QUOTED, parse, unquoted
-from asterweave.runtime import materialize, small_side
+from asterweave.functions.stated import TYPE_CODES, catalog_code, is_nothing, size_fillers, stated_mag, stated_size, type_code
+from asterweave.operators.unpack import finest_dialect, parse, unquoted
+from asterweave.runtime import discard, materialize, small_side
 
 #: Positions of one object differ by at most so many arcmin, unless names agree.
 REACH_ARCMIN = 1.6
@@ -38,15 +38,11 @@ LEAST_VARIANCE = 0.03**2
 UNLIKELY = 0.001
 #: Pairs of kinds (catalogue and type) are believed to be like all others with the weight of so many pairs.
 KIND_BELIEF = 20.0
+#: Log odds from which a pair counts as a sure match, and the usual size of what words take off the odds of a kind.
+SURE_ODDS, OFFSET_BELIEF = 4.0, 2.0
 FEATURES = 18
 
 
-def _dialect(column: str) -> Column:
-    """All delimiters, and quotes where they are balanced."""
-    balanced = F.length(F.regexp_replace(F.col(column), '[^"]', "")) % 2 == 0
-    return F.when(balanced, F.lit(2 * QUOTED - 1)).otherwise(QUOTED - 1)
-
-
 def _texts(column: str, dialect: Column, kept: str) -> Column:
     """The normal forms of the values packed in a field, without those that are no values."""
     values = F.transform(parse(F.col(column), dialect), lambda v: F.regexp_replace(F.lower(unquoted(v, dialect)), kept, ""))
@@ -60,14 +56,14 @@ def records(df: DataFrame) -> DataFrame:
     x, y, z = sky.unit_vector(ra, dec)
     ident = F.regexp_replace(F.regexp_replace(F.lower("id"), r"[^\p{L}\p{N}]", ""), r"(?<=\p{L})0+(?=\d)", "")
     own = ["row_id", "catalog", "type", "id", "ra", "dec", "mag", "size", "common_names", "extra_info"]
-    rows = df.select(*own).withColumns({"__names": _dialect("common_names"), "__marks": _dialect("extra_info")})
+    rows = df.select(*own).withColumns({"__names": finest_dialect(F.col("common_names")), "__marks": finest_dialect(F.col("extra_info"))})
     return rows.where(F.col("row_id").isNotNull() & ra.isNotNull() & dec.isNotNull()).select(
         "row_id",
         F.coalesce(catalog_code(F.col("catalog")), F.lit("")).alias("cat"),
         F.when(~is_nothing(F.col("id")), ident).alias("ident"),
         x.alias("x"), y.alias("y"), z.alias("z"),
         stated_mag(F.col("mag")).alias("mag"),
-        F.log(stated_size(F.col("size"))).alias("size"),
+        F.log(stated_size(F.col("size"), size_fillers(df))).alias("size"),
         F.when(type_code(F.col("type")).isin(*{c.upper() for c in TYPE_CODES}), type_code(F.col("type"))).otherwise("").alias("kind"),
         _texts("common_names", F.col("__names"), '"').alias("names"),
         _texts("extra_info", F.col("__marks"), r'[\s"]').alias("marks"),
@@ -78,7 +74,8 @@ def copies_folded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one record of each set of equal ones, (row_id, copy) of those with copies): copies are judged once.
 
     Position, source and all that is compared are equal among copies, so they
-    match the same records. The smallest row_id stands for them.
+    match the same records. The smallest row_id stands for them. ``rows`` is
+    read twice and should be materialized.
     """
     same = [c for c in rows.columns if c != "row_id"]
     groups = rows.groupBy(*same).agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
@@ -87,37 +84,39 @@ def copies_folded(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     equal = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in same]
     keys = [(F.col(f"r.{c}") == F.col(f"s.{c}")) for c in ("x", "y", "z")]
     members = rows.alias("r").join(several.alias("s"), keys + equal).select(F.col("s.first").alias("row_id"), F.col("r.row_id").alias("copy"))
-    return single.drop("n"), members
+    return single.drop("n"), materialize(members, "members")
 
 
 def candidate_pairs(rows: DataFrame, reach: float = REACH_ARCMIN) -> DataFrame:
-    """Pairs of records ``a`` and ``b`` (a.row_id < b.row_id after ordering) from all blocks, each once, with ``sep``."""
+    """(row_id_a, row_id_b, sep): pairs from all blocks, each once, row_id_a < row_id_b.
+
+    Only ids and positions go through the blocks.
+    """
     r = sky.chord(reach)
     side = 4 * r
-    whole = F.struct("row_id", "cat", "ident", "kind", "x", "y", "z", "mag", "size", "names", "marks")
     own = sky.cell_of(F.col("x"), F.col("y"), F.col("z"), side)
     corners = [sky.cell_of(F.col("x") + i * r, F.col("y") + j * r, F.col("z") + k * r, side) for i in (-1, 1) for j in (-1, 1) for k in (-1, 1)]
     # Copies go to cells of lower number only, so that each pair meets once.
     near = F.filter(F.array_distinct(F.array(own, *corners)), lambda c: c <= own)
-    left = rows.select(own.alias("block"), own.alias("home"), whole.alias("a"))
-    right = rows.select(F.explode(near).alias("block"), own.alias("from"), whole.alias("b"))
-    d2 = sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in "xyz"), F.lit(0.0))
-    once = (F.col("from") != F.col("home")) | (F.col("a.row_id") < F.col("b.row_id"))
-    by_cell = left.join(right, "block").where(once & (d2 <= r * r)).select("a", "b")
+    place = ["row_id", "x", "y", "z"]
+    left = rows.select(own.alias("block"), *(F.col(c).alias(f"{c}_p") for c in place))
+    right = rows.select(F.explode(near).alias("block"), own.alias("from"), *(F.col(c).alias(f"{c}_q") for c in place))
+    d2 = sum(((F.col(f"{c}_p") - F.col(f"{c}_q")) * (F.col(f"{c}_p") - F.col(f"{c}_q")) for c in "xyz"), F.lit(0.0))
+    # the block of a row that is not copied is its own cell
+    once = (F.col("from") != F.col("block")) | (F.col("row_id_p") < F.col("row_id_q"))
+    ends = [F.least("row_id_p", "row_id_q").alias("row_id_a"), F.greatest("row_id_p", "row_id_q").alias("row_id_b"), d2.alias("d2")]
+    by_cell = left.join(right, "block").where(once & (d2 <= r * r)).select(*ends)
 
     tokens = F.concat("names", "marks")
     hashes = F.array(*(F.array_min(F.transform(tokens, lambda t, s=s: F.xxhash64(F.lit(s), t))) for s in range(BANDS)))
     wide = sky.cell_of(F.col("x"), F.col("y"), F.col("z"), 4 * BAND_REACH * r)
-    banded = rows.where(F.size(tokens) > 0).select(whole.alias("rec"), hashes.alias("mins"), wide.alias("wide"))
-    banded = banded.select("rec", "mins", "wide", F.posexplode("mins").alias("band", "least"))
-    block = ["wide", "band", "least"]
-    p = banded.select(*block, F.col("rec").alias("a"), F.col("mins").alias("ma"))
-    q = banded.select(*block, F.col("rec").alias("b"), F.col("mins").alias("mb"))
+    banded = rows.where(F.size(tokens) > 0).select(*place, F.posexplode(hashes).alias("band", "least"), wide.alias("wide"))
+    banded = banded.select(F.xxhash64("wide", "band", "least").alias("block"), *place)
+    p, q = (banded.select("block", *(F.col(c).alias(f"{c}_{n}") for c in place)) for n in "pq")
     far = (d2 > r * r) & (d2 <= (BAND_REACH * r) ** 2)
-    first = F.array_position(F.zip_with("ma", "mb", lambda m, n: m == n), True) == F.col("band") + 1
-    by_band = p.join(q, block).where((F.col("a.row_id") < F.col("b.row_id")) & far & first).select("a", "b")
-    sep = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt(d2) / 2))) * 60
-    return by_cell.union(by_band).withColumn("sep", sep)
+    by_band = p.join(q, "block").where((F.col("row_id_p") < F.col("row_id_q")) & far).select(*ends).distinct()
+    sep = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sqrt("d2") / 2))) * 60
+    return by_cell.union(by_band).select("row_id_a", "row_id_b", sep.alias("sep"))
 
 
 def _agreement(column: str) -> Column:
@@ -126,15 +125,16 @@ def _agreement(column: str) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).when(F.arrays_overlap(a, b), 2).otherwise(1)
 
 
-def compared(pairs: DataFrame) -> DataFrame:
-    """One flat row for each pair: ids, sources, distance and the differences of what both state."""
-    swap = F.col("a.row_id") > F.col("b.row_id")
-    lo, hi = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+def compared(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One flat row for each pair of ``candidate_pairs``: ids, sources, distance and the differences of what both state."""
+    told = F.struct("cat", "ident", "kind", "mag", "size", "names", "marks")
+    for end in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("row_id").alias(f"row_id_{end}"), told.alias(end)), f"row_id_{end}")
     ds = F.abs(F.col("a.size") - F.col("b.size"))
     kinds = F.array_join(F.array_sort(F.array(*(F.concat_ws(" ", f"{p}.cat", f"{p}.kind") for p in "ab"))), " | ")
     return pairs.select(
-        lo["row_id"].alias("row_id_a"), hi["row_id"].alias("row_id_b"), lo["cat"].alias("cat_a"), hi["cat"].alias("cat_b"),
-        lo["ident"].alias("ident_a"), hi["ident"].alias("ident_b"), "sep",
+        "row_id_a", "row_id_b", F.col("a.cat").alias("cat_a"), F.col("b.cat").alias("cat_b"),
+        F.col("a.ident").alias("ident_a"), F.col("b.ident").alias("ident_b"), "sep",
         F.abs(F.col("a.mag") - F.col("b.mag")).alias("dm"), F.least(ds, F.abs(ds - UNIT)).alias("ds"),
         _agreement("names").alias("names"), _agreement("marks").alias("marks"), kinds.alias("kinds"),
     )
@@ -177,6 +177,41 @@ class Evidence:
     kinds: dict[str, float]
 
 
+def kind_offsets(odds: np.ndarray, count: np.ndarray, names: np.ndarray, marks: np.ndarray, place: np.ndarray, kinds: int, chance: float) -> np.ndarray:
+    """What to take off the log odds of each pair of kinds, given log odds without words.
+
+    Things of unlike kinds may lie close together and be alike in size, as
+    matches are. Words then tell them apart as a whole: if pairs of a kind were
+    matches as often as their odds say, so many of those that state words on
+    both sides would share one. The rate at which matches do is taken from sure
+    pairs, low among the kinds, as sources differ; ``chance`` is that of others.
+    The offset of greatest posterior probability is searched, by a belief in
+    small ones; it never raises odds.
+    """
+    stated, shared = (names > 0) | (marks > 0), (names == 2) | (marks == 2)
+    sure = stated & (odds >= SURE_ODDS)
+    n, g = (np.bincount(place[w], count[w], kinds) for w in (sure, sure & shared))
+    enough = np.flatnonzero(n >= KIND_BELIEF)
+    if not enough.size:
+        return np.zeros(kinds)
+    rate, weight = g[enough] / n[enough], n[enough]
+    order = np.argsort(rate)
+    rate, weight = rate[order], weight[order]
+    # a kind with far fewer shared words than the best ones is not of matches, however sure it looks
+    high = rate[np.searchsorted(np.cumsum(weight), 0.9 * weight.sum())]
+    rate, weight = rate[rate >= high / 3], weight[rate >= high / 3]
+    low = float(rate[np.searchsorted(np.cumsum(weight), 0.1 * weight.sum())])
+    if low <= chance:
+        return np.zeros(kinds)
+    steps = np.arange(0.0, -8.01, -0.1)
+    told = np.zeros((len(steps), kinds))
+    for i, step in enumerate(steps):
+        p = 1 / (1 + np.exp(-np.clip(odds[stated] + step, -30, 30)))
+        agree = np.clip(low * p + chance * (1 - p), 1e-6, 1 - 1e-6)
+        told[i] = np.bincount(place[stated], count[stated] * np.where(shared[stated], np.log(agree), np.log(1 - agree)), kinds) - step**2 / (2 * OFFSET_BELIEF**2)
+    return steps[told.argmax(axis=0)]
+
+
 def fit_evidence(bins: pd.DataFrame, trained_share: float, rounds: int = 25) -> Evidence:
     """Expectation maximization over a histogram of candidates (logit, names, marks, kinds, n)."""
     logit, count = bins["logit"].to_numpy(float), bins["n"].to_numpy(float)
@@ -195,9 +230,10 @@ def fit_evidence(bins: pd.DataFrame, trained_share: float, rounds: int = 25) ->
             both, shared = state > 0, state == 2
             m = ((p * count)[shared].sum() + 1) / ((p * count)[both].sum() + 2)
             u = (((1 - p) * count)[shared].sum() + 1) / (((1 - p) * count)[both].sum() + 2)
-            tables[c] = [0.0, float(np.log((1 - m) / (1 - u))), float(np.log(m / u))]
+            tables[c], chance = [0.0, float(np.log((1 - m) / (1 - u))), float(np.log(m / u))], float(u)
         m, u = (np.bincount(place, w * count, len(kinds)) for w in (p, 1 - p))
         by_kind = np.log((m + KIND_BELIEF * usual + 1e-9) / (m.sum() + KIND_BELIEF)) - np.log((u + KIND_BELIEF * usual + 1e-9) / (u.sum() + KIND_BELIEF))
+    by_kind += kind_offsets(logit + shift + by_kind[place], count, states["names"], states["marks"], place, len(kinds), chance)
     return Evidence(shift, tables["names"], tables["marks"], dict(zip(kinds, by_kind.tolist(), strict=True)))
 
 
@@ -248,8 +284,11 @@ def matched_pairs(df: DataFrame, reach: float = REACH_ARCMIN, at_least: float =
     Other columns are ignored.
     """
     spark = df.sparkSession
-    rows, copies = copies_folded(records(df))
-    pairs = materialize(compared(candidate_pairs(rows, reach)), "pairs")
+    raw = materialize(records(df), "raw")
+    rows, copies = copies_folded(raw)
+    discard(spark, raw)
+    pairs = materialize(compared(candidate_pairs(rows, reach), rows), "pairs")
+    discard(spark, rows)
     cross = F.col("cat_a") != F.col("cat_b")
     agrees = (F.col("names") == 2) | (F.col("marks") == 2)
     plausible = ~F.coalesce(F.col("dm") > 1.2, F.lit(False)) & ~F.coalesce(F.col("ds") > 0.8, F.lit(False))
@@ -301,9 +340,12 @@ def matched_pairs(df: DataFrame, reach: float = REACH_ARCMIN, at_least: float =
 
     odds = F.col("logit") + seen.shift + told_by("names", seen.names) + told_by("marks", seen.marks) + F.coalesce("by_kind", F.lit(0.0))
     judged = judged.join(small_side(kinds), "kinds", "left")
-    scored = consistent(materialize(judged.select(*kept[:6], odds.alias("odds")), "scored"))
+    scored = materialize(judged.select(*kept[:6], odds.alias("odds")), "scored")
+    discard(spark, pairs)
+    first_odds, scored = scored, consistent(scored)
     scored = scored.withColumn("confidence", 1 / (1 + F.exp(-F.col("odds"))))
     accepted = materialize(scored.where(F.col("confidence") >= at_least), "accepted")
+    discard(spark, first_odds)
     out = accepted
     for me, other in (("a", "b"), ("b", "a")):
         best = accepted.where(F.col(f"ident_{other}").isNotNull()).groupBy(f"row_id_{me}", f"cat_{other}").agg(

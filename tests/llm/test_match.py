@@ -1,7 +1,9 @@
 import math
 import random
 
-from asterweave.llm.match import consistent, fit_logistic, matched_pairs
+import numpy as np
+
+from asterweave.llm.match import consistent, fit_logistic, kind_offsets, matched_pairs
 
 CATS = {"ngc": 0.06, "pgc": 0.05, "ldn": 0.2, "sh2": 0.15}
 
@@ -61,8 +63,6 @@ def test_edges(catalog):
 
 
 def test_logistic_regression():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     x = np.c_[np.ones(4000), rng.normal(size=4000)]
     y = (rng.random(4000) < 1 / (1 + np.exp(-(0.5 + 2 * x[:, 1])))).astype(float)
@@ -73,3 +73,27 @@ def test_a_certain_witness_lifts_an_unlikely_pair(spark):
     rows = [(1, 2, "a", "b", math.log(0.004)), (1, 3, "a", "c", 10.0), (2, 3, "b", "c", 10.0)]
     got = consistent(spark.createDataFrame(rows, "row_id_a long, row_id_b long, cat_a string, cat_b string, odds double")).collect()
     assert {(r.row_id_a, r.row_id_b) for r in got if r.odds > 0} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_words_tell_unlike_kinds_apart():
+    # two kinds of pairs with the same odds: those of the second never share a word where both state some
+    rng = np.random.default_rng(1)
+    n = 4000
+    kind = rng.integers(0, 2, n)
+    odds = rng.normal(3.0, 2.0, n)
+    true = (rng.random(n) < 1 / (1 + np.exp(-odds))) & (kind == 0)
+    stated = rng.random(n) < 0.4
+    names = np.where(stated, np.where(true & (rng.random(n) < 0.6), 2, 1), 0)
+    off = kind_offsets(odds, np.ones(n), names, np.zeros(n, int), kind, 2, 0.01)
+    assert off[0] == 0 and off[1] < -4
+    # without words, or with too few sure pairs, nothing is taken off
+    assert not kind_offsets(odds, np.ones(n), np.zeros(n, int), np.zeros(n, int), kind, 2, 0.01).any()
+    assert not kind_offsets(odds - 20, np.ones(n), names, np.zeros(n, int), kind, 2, 0.01).any()
+
+
+def test_probabilities_are_calibrated(catalog):
+    rows, truth = sky(seed=5, n=700)
+    got, want = matched_pairs(catalog(*rows)).collect(), pairs_of(truth, rows)
+    said = sum(r.confidence for r in got) / len(got)
+    right = sum((r.row_id_a, r.row_id_b) in want for r in got) / len(got)
+    assert len(got) > 1000 and right > 0.97 and abs(said - right) < 0.02
