@@ -157,10 +157,14 @@ def month_load(plan: DataFrame) -> DataFrame:
     return months.join(F.broadcast(sums), "month", "left").select("month", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.round(mean, 6).alias("mean_score"), status.alias("status"))
 
 
+# The words of the grades from 90, 80, 70 percent, and below.
+GRADES = ("WYBITNA", "BARDZO DOBRA", "DOBRA", "KOMPROMISOWA")
+
+
 def quality_grade(plan: DataFrame) -> DataFrame:
     """(quality, grade): the mean ratio as a percentage, and its grade."""
     q = F.avg("ratio") * 100
-    grade = F.when(q >= 90, "WYBITNA").when(q >= 80, "BARDZO DOBRA").when(q >= 70, "DOBRA").otherwise("KOMPROMISOWA")
+    grade = F.when(q >= 90, GRADES[0]).when(q >= 80, GRADES[1]).when(q >= 70, GRADES[2]).otherwise(GRADES[3])
     return plan.agg(F.round(q, 6).alias("quality"), grade.alias("grade"))
 
 

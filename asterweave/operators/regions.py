@@ -160,9 +160,10 @@ def near_pairs(points: DataFrame, arcmin: float, point_id: str = "row_id", stric
     """(a, b, sep_arcmin), a < b, of all points at most ``arcmin`` apart (``strict``: less).
 
     A cell of the grid is as wide as the distance, so each point is compared
-    with 27 cells by an equi-join; the straight-line distance of unit vectors
-    decides. There is no special case at the poles or at right ascension 0.
-    Points without a usable position or id have no pairs.
+    with its own cell and 13 of its 26 neighbours by an equi-join, the others
+    being compared with it; the straight-line distance of unit vectors decides.
+    There is no special case at the poles or at right ascension 0. Points
+    without a usable position or id have no pairs.
     """
     r = sky.chord(arcmin)
     side = max(r, 4.0 / (1 << sky.AXIS_BITS))
@@ -170,17 +171,13 @@ def near_pairs(points: DataFrame, arcmin: float, point_id: str = "row_id", stric
         F.col(point_id).alias("id"), sky.usable_ra(F.col("ra")).alias("ra"), sky.usable_dec(F.col("dec")).alias("dec")
     ).where("id is not null and ra is not null and dec is not null")
     x, y, z = sky.unit_vector(F.col("ra"), F.col("dec"))
-    at = at.select("id", x.alias("x"), y.alias("y"), z.alias("z"))
-    right = at.select(
-        F.col("id").alias("b"), *(F.col(c).alias(f"{c}2") for c in "xyz"),
-        sky.cell_of(F.col("x"), F.col("y"), F.col("z"), side).alias("cell"),
-    )
-    steps = F.array(*(F.lit((i << (2 * sky.AXIS_BITS)) + (j << sky.AXIS_BITS) + k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)))
-    left = at.select(
-        F.col("id").alias("a"), "x", "y", "z",
-        F.explode(F.transform(steps, lambda s: s + sky.cell_of(F.col("x"), F.col("y"), F.col("z"), side))).alias("cell"),
-    )
+    at = at.select("id", x.alias("x"), y.alias("y"), z.alias("z")).withColumn("cell", sky.cell_of(F.col("x"), F.col("y"), F.col("z"), side))
+    right = at.select(F.col("id").alias("id2"), *(F.col(c).alias(f"{c}2") for c in "xyz"), "cell")
+    shifts = [(i << (2 * sky.AXIS_BITS)) + (j << sky.AXIS_BITS) + k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    steps = F.array(*(F.lit(s) for s in shifts if s >= 0))
+    left = at.select("id", "x", "y", "z", F.col("cell").alias("home"), F.explode(F.transform(steps, lambda s: s + F.col("cell"))).alias("cell"))
     d2 = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"), F.lit(0.0))
-    pairs = left.join(right, "cell").where("a < b").select("a", "b", d2.alias("d2"))
+    once = F.when(F.col("home") == F.col("cell"), F.col("id") < F.col("id2")).otherwise(F.col("id") != F.col("id2"))
+    pairs = left.join(right, "cell").where(once).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), d2.alias("d2"))
     pairs = pairs.where(F.col("d2") < r * r) if strict else pairs.where(F.col("d2") <= r * r)
     return pairs.select("a", "b", (F.degrees(2 * F.asin(F.sqrt("d2") / 2)) * 60).alias("sep_arcmin"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asterweave.functions import text
-from asterweave.operators.components import component_labels
+from asterweave.operators.groups import tolerance_groups
 from asterweave.operators.regions import near_pairs
 from asterweave.runtime import discard, materialize, number
 
@@ -20,9 +20,9 @@ def capped_size(size: Column, leader: Column, cap: float = SIZE_CAP) -> Column:
 
 
 def with_component(df: DataFrame, arcmin: float, key: str = "row_id") -> DataFrame:
-    """``df`` with ``component``: the smallest key among all rows linked within ``arcmin``, directly or not."""
-    labels = component_labels(near_pairs(df, arcmin, key).select("a", "b"))
-    joined = df.join(labels.select(F.col("node").alias("__node"), F.col("label").alias("__label")), F.col(key) == F.col("__node"), "left")
+    """``df`` with ``component``: the smallest key among all rows linked within ``arcmin``, directly or not. No pair is formed."""
+    labels = tolerance_groups(df, arcmin, key=key)
+    joined = df.join(labels.select(F.col(key).alias("__node"), F.col("group_id").alias("__label")), F.col(key) == F.col("__node"), "left")
     kept = [c for c in df.columns if c != "component"]
     return joined.select(*kept, F.coalesce("__label", key).alias("component"))
 

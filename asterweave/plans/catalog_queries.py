@@ -441,10 +441,9 @@ def q_params_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT upper(trim(type)) AS code, count(*) AS n FROM katalog_astro_full WHERE upper(trim(type)) IN ('G', 'GX', 'NB', 'HII', 'DN', 'PN', 'OCL', 'GCL')
-    GROUP BY 1"""
+    """SELECT upper(trim(type)) AS code, count(*) AS n FROM katalog_astro_full
+    WHERE regexp_matches(type, '[a-zA-Z0-9*]') AND lower(trim(type)) NOT IN ('nan', 'none', 'null', 'n/a', 'unk') GROUP BY 1"""
 )
 def q_type_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = type_code(F.col("type")).alias("code")
-    counted = table(spark, sf_dir, "katalog_astro_full").groupBy(code).agg(F.count("*").alias("n"))
-    return counted.where(F.col("code").isin("G", "GX", "NB", "HII", "DN", "PN", "OCL", "GCL"))
+    return table(spark, sf_dir, "katalog_astro_full").groupBy(code).agg(F.count("*").alias("n")).where("code is not null")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterweave.functions import ephem
-from asterweave.operators import cache, pages, plan, runs, visibility
+from asterweave.operators import cache, choose, pages, plan, runs, visibility
 from asterweave.operators.visibility import SAMPLES, SPACING, STEP, Site
 from asterweave.plans.catalog_queries import plan_weight_sql
 from asterweave.plans.problems import table
@@ -289,6 +289,98 @@ def q_quality_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.quality_grade(plan.assigned(_cost(spark, sf_dir)))
 
 
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored plan: month and score of each planned object, with what its month has of its best hours."""
+    rows = table(spark, sf_dir, "vis_objects").where("selected is not null")
+    hours = plan.latest_monthly(table(spark, sf_dir, "monthly_best"))
+    most = hours.groupBy("id").agg(F.max("best_q_hours").alias("most"))
+    own = rows.select("id", F.col("selected.variant").alias("variant"), F.col("selected.month").alias("month"), "score")
+    ratio = F.col("best_q_hours") / F.nullif(F.col("most"), F.lit(0.0))
+    return own.join(hours, ["id", "month"]).join(most, "id").select("variant", "month", "id", ratio.alias("ratio"), "score")
+
+
+_PLANNED = f"""WITH {_LATEST}, m AS (SELECT id, max(best_q_hours) AS most FROM b GROUP BY id),
+    p AS (SELECT v.selected.variant AS variant, v.selected.month AS month, v.id, b.best_q_hours / nullif(m.most, 0) AS ratio, v.score
+      FROM vis_objects v JOIN b ON b.id = v.id AND b.month = v.selected.month JOIN m ON m.id = v.id WHERE v.selected IS NOT NULL)"""
+
+
+@query(
+    f"""{_PLANNED}, s AS (SELECT month, count(*) AS n, avg(score) AS mean FROM p GROUP BY month)
+    SELECT CAST(i AS INTEGER) AS month, coalesce(n, 0) AS n, round(coalesce(mean, 0), 6) AS mean_score,
+      CASE WHEN mean >= 80 THEN 'excellent' WHEN mean >= 60 THEN 'good' WHEN mean > 0 THEN 'fair' ELSE 'empty' END AS status
+    FROM range(1, 13) r(i) LEFT JOIN s ON s.month = i"""
+)
+def q_planned_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.month_load(_planned(spark, sf_dir))
+
+
+@query(
+    f"""{_PLANNED} SELECT round(avg(ratio) * 100, 6) AS quality, CASE WHEN avg(ratio) >= 0.9 THEN 'WYBITNA' WHEN avg(ratio) >= 0.8 THEN 'BARDZO DOBRA'
+      WHEN avg(ratio) >= 0.7 THEN 'DOBRA' ELSE 'KOMPROMISOWA' END AS grade FROM p"""
+)
+def q_planned_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.quality_grade(_planned(spark, sf_dir))
+
+
+@query(f"{_PLANNED} SELECT variant, month, id, round(ratio, 6) AS ratio, score FROM p WHERE score >= 80 AND ratio < 0.7")
+def q_gems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan.gems(_planned(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("SELECT id, name, size, score FROM vis_objects WHERE size >= 10")
+def q_large_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choose.large_enough(table(spark, sf_dir, "vis_objects"), 10.0).select("id", "name", "size", "score")
+
+
+@query("SELECT id, score, size FROM vis_objects ORDER BY score DESC NULLS LAST, size DESC NULLS LAST, id LIMIT 108")
+def q_first_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choose.first_objects(table(spark, sf_dir, "vis_objects"), 108).select("id", "score", "size")
+
+
+@query(
+    """SELECT row_id, coalesce(upper(trim(type)) IN ('OCL', 'G', 'GPAIR', 'GTRPL', 'GGROUP', 'GCL', 'NEB', 'EMN', 'RFN', 'PN', 'HII', 'CL+N', 'DRKN'), false)
+        AND (mag IS NULL OR isnan(mag) OR mag < 16) AS drawn,
+      coalesce(NOT isnan(size) AND size > 1, false) AS true_size, coalesce(NOT isnan(size) AND size > 0 AND size < 3000, false) AS outlined,
+      coalesce(NOT isnan(mag) AND mag < 12, false) AS bright
+    FROM katalog_astro_full"""
+)
+def q_chart_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "katalog_astro_full").select(
+        "row_id", choose.drawn(F.col("type"), F.col("mag")).alias("drawn"), choose.true_size(F.col("size")).alias("true_size"),
+        choose.outlined(F.col("size")).alias("outlined"), choose.drawn_stars(F.col("mag")).alias("bright"),
+    )
+
+
+@query(
+    r"""-- rounded half up on the decimal value, as Spark does
+    SELECT id, coalesce(nullif(trim(string_split(coalesce(common_names, ''), ',')[1]), ''),
+        CASE WHEN regexp_matches(upper(trim(id)), '^(NGC|IC)\s*\d') THEN regexp_replace(upper(trim(id)), '\s+', '', 'g') END, nullif(trim(name), '')) AS label,
+      (CASE WHEN mag > 12 THEN '○' ELSE '●' END) || CAST(round(CAST(mag AS DECIMAL(12, 4)), 1) AS VARCHAR) AS mag_mark, '●' || CAST(round(CAST(size AS DECIMAL(12, 4)), 1) AS VARCHAR) || chr(39) AS size_mark
+    FROM vis_objects"""
+)
+def q_chart_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "vis_objects").select(
+        "id", choose.chart_label(F.col("common_names"), F.col("id"), F.col("name")).alias("label"),
+        choose.marked(F.col("mag"), F.col("mag") > 12).alias("mag_mark"), choose.marked(F.col("size"), F.lit(False), "'").alias("size_mark"),
+    )
+
+
+@query(f"WITH {_LATEST} SELECT id, count(*) FILTER (best_q_hours >= 3) AS months FROM b GROUP BY id")
+def q_good_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return choose.good_months(plan.latest_monthly(table(spark, sf_dir, "monthly_best")), 3.0)
+
+
+@query(
+    """SELECT id, i AS point, round(ra + size / 60 * cos(i * 2 * pi() / 100) / greatest(abs(cos(radians(dec))), 0.001), 6) AS ra,
+      round(greatest(-90, least(90, dec + size / 60 * sin(i * 2 * pi() / 100))), 6) AS dec
+    FROM vis_objects, range(0, 101) r(i) WHERE size > 0 AND size < 3000"""
+)
+def q_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "vis_objects").where(choose.outlined(F.col("size")))
+    points = F.posexplode(ephem.circle(F.col("ra"), F.col("dec"), F.col("size") / 60)).alias("point", "p")
+    return rows.select("id", points).select("id", F.col("point").cast("long").alias("point"), F.round("p.ra", 6).alias("ra"), F.round("p.dec", 6).alias("dec"))
+
+
 @query("SELECT selected.variant AS variant, count(*) AS n FROM vis_objects WHERE selected IS NOT NULL GROUP BY ROLLUP (selected.variant)")
 def q_plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.plan_totals(table(spark, sf_dir, "vis_objects"))
