@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from asterweave.functions.stated import size_fillers, stated_mag, stated_size
-from asterweave.llm.groups import tolerance_groups
+from asterweave.llm.groups import matched_groups, tolerance_groups
 from asterweave.llm.match import matched_pairs
 from asterweave.llm.mixing import marginals_reached, mixed, shares_reached
 from asterweave.llm.subjects import subject_shares, subjects_of
@@ -64,6 +64,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tolerance_groups(_table(spark, sf_dir, "katalog_astro_full")).select("row_id", "group_id")
 
 
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups that the matches of problem 1 form."""
+    return matched_groups(p1_matches(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(_table(spark, sf_dir, "documents"))
 
@@ -120,6 +125,7 @@ QUERIES = {
     "p2_survivors": p2_survivors,
     "p2_layers": p2_layers,
     "p3_found": p3_found,
+    "p3_matches": p3_matches,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,

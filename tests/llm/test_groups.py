@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from asterweave.llm.groups import tolerance_groups
+from asterweave.llm.groups import matched_groups, tolerance_groups
 
 
 def brute(points, arcmin):
@@ -71,3 +71,10 @@ def test_modulo_and_dirt(spark):
     assert got(spark, points) == {1: 1, 2: 1}
     assert got(spark, []) == {}
     assert got(spark, [(1, 5.0, 5.0)]) == {}
+
+
+def test_groups_of_matches(spark):
+    rows = [(5, 9), (9, 2), (2, 5), (2, 5), (7, 8), (4, 4), (None, 3), (6, None)]
+    df = spark.createDataFrame(rows, "row_id_a long, row_id_b long").selectExpr("*", "1 as node", "'x' as label")
+    assert {(r.row_id, r.group_id) for r in matched_groups(df).collect()} == {(2, 2), (5, 2), (9, 2), (7, 7), (8, 7)}
+    assert matched_groups(df.limit(0)).count() == 0
