@@ -50,32 +50,45 @@ MOST_ROUNDS = 100
 WIDE_ROWS = 100_000
 
 
-def _patches(ra: Column, dec: Column) -> Column:
-    """The cell of a position in each grid.
+def _bands(dec: Column) -> dict[str, Column]:
+    """Of the two grids of bands the band of a declination, and its number of cells.
 
-    A band of declination has a whole number of cells, so that shifted ones wrap
-    around; they are so wide that rows half a side apart are at most half a cell
-    apart, at the poles too.
+    A band has a whole number of cells, so that shifted ones wrap around; they
+    are so wide that rows half a side apart are at most half a cell apart, at the
+    poles too.
     """
-    side, cells = PATCH_ARCMIN / 60.0, []
-    for up in (0.0, 0.5):
+    side, out = PATCH_ARCMIN / 60.0, {}
+    for g, up in enumerate((0.0, 0.5)):
         band = F.floor((dec + 90.0) / side + up)
-        low = (band - up) * side - 90.0
-        narrow = F.greatest(F.least(F.cos(F.radians(low)), F.cos(F.radians(low + side))), F.lit(1e-9))
+        # the end of the band that is nearer to a pole is narrower
+        edge = F.greatest(F.abs((band - up) * side - 90.0), F.abs((band + 1 - up) * side - 90.0))
+        narrow = F.greatest(F.cos(F.radians(edge)), F.lit(1e-9))
         width = F.degrees(4 * F.asin(F.least(F.lit(1.0), math.sin(math.radians(side / 4)) / narrow)))
-        n = F.greatest(F.floor(360.0 / width), F.lit(1))
-        cells += [F.xxhash64(F.lit(len(cells) + i), band, F.pmod(F.floor(ra / 360.0 * n + along), n)) for i, along in enumerate((0.0, 0.5))]
+        out |= {f"band_{g}": band, f"cells_{g}": F.greatest(F.floor(360.0 / width), F.lit(1))}
+    return out
+
+
+def _patches(ra: Column) -> Column:
+    """The cell of a position in each grid, given its bands: two grids of bands, cells of each shifted by half a cell."""
+    cells = []
+    for g in (0, 1):
+        band, n = F.col(f"band_{g}"), F.col(f"cells_{g}")
+        cells += [F.xxhash64(F.lit(2 * g + i), band, F.pmod(F.floor(ra / 360.0 * n + along), n)) for i, along in enumerate((0.0, 0.5))]
     return F.array(*cells)
 
 
 def _rows(df: DataFrame) -> DataFrame:
     """What the operator uses of each row: its patches, catalogue, plate, month, and what it states."""
-    ra, dec = sky.usable_ra(F.col("ra")), sky.usable_dec(F.col("dec"))
-    return df.select(
-        F.col("row_id"),
-        F.when(ra.isNotNull() & dec.isNotNull(), _patches(ra, dec)).alias("patch"),
+    # positions are used many times below: computed first, they are computed once
+    at = df.select(
+        "row_id", "catalog", "plate", "updated_at", "mag", "size", "type",
+        sky.usable_ra(F.col("ra")).alias("ra"), sky.usable_dec(F.col("dec")).alias("dec"),
+    ).withColumns(_bands(F.col("dec")))
+    return at.select(
+        "row_id",
+        F.when(F.col("ra").isNotNull() & F.col("dec").isNotNull(), _patches(F.col("ra"))).alias("patch"),
         F.coalesce(catalog_code(F.col("catalog")), F.lit("")).alias("cat"),
-        F.col("plate"),
+        "plate",
         F.date_format(F.col("updated_at"), "yyyy-MM").alias("month"),
         stated_mag(F.col("mag")).alias("mag"),
         # sizes spread over orders of magnitude: their mean is geometric
