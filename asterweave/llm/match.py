@@ -52,19 +52,23 @@ def _texts(column: str, dialect: Column, kept: str) -> Column:
 
 def records(df: DataFrame) -> DataFrame:
     """What the operator uses of each row with a usable position."""
-    ra, dec = sky.usable_ra(F.col("ra")), sky.usable_dec(F.col("dec"))
-    x, y, z = sky.unit_vector(ra, dec)
     ident = F.regexp_replace(F.regexp_replace(F.lower("id"), r"[^\p{L}\p{N}]", ""), r"(?<=\p{L})0+(?=\d)", "")
-    own = ["row_id", "catalog", "type", "id", "ra", "dec", "mag", "size", "common_names", "extra_info"]
-    rows = df.select(*own).withColumns({"__names": finest_dialect(F.col("common_names")), "__marks": finest_dialect(F.col("extra_info"))})
-    return rows.where(F.col("row_id").isNotNull() & ra.isNotNull() & dec.isNotNull()).select(
+    fillers = size_fillers(df)
+    # what is used more than once below is computed first, and so once
+    rows = df.where("row_id is not null").select(
+        "row_id", "catalog", "id", "mag", "size", "common_names", "extra_info", type_code(F.col("type")).alias("kind"),
+        sky.usable_ra(F.col("ra")).alias("ra"), sky.usable_dec(F.col("dec")).alias("dec"),
+        finest_dialect(F.col("common_names")).alias("__names"), finest_dialect(F.col("extra_info")).alias("__marks"),
+    ).where("ra is not null and dec is not null")
+    x, y, z = sky.unit_vector(F.col("ra"), F.col("dec"))
+    return rows.select(
         "row_id",
         F.coalesce(catalog_code(F.col("catalog")), F.lit("")).alias("cat"),
         F.when(~is_nothing(F.col("id")), ident).alias("ident"),
         x.alias("x"), y.alias("y"), z.alias("z"),
         stated_mag(F.col("mag")).alias("mag"),
-        F.log(stated_size(F.col("size"), size_fillers(df))).alias("size"),
-        F.when(type_code(F.col("type")).isin(*{c.upper() for c in TYPE_CODES}), type_code(F.col("type"))).otherwise("").alias("kind"),
+        F.log(stated_size(F.col("size"), fillers)).alias("size"),
+        F.when(F.col("kind").isin(*{c.upper() for c in TYPE_CODES}), F.col("kind")).otherwise("").alias("kind"),
         _texts("common_names", F.col("__names"), '"').alias("names"),
         _texts("extra_info", F.col("__marks"), r'[\s"]').alias("marks"),
     )
