@@ -47,8 +47,7 @@ _SECTION = re.compile(r"(?:\r?\n[ \t]*){2,}")
 _OPENER = re.compile(r"^[\W_]*([^\W\d_][^.,:;!?\n]{1,28}[,:])\s")
 _HEADING = re.compile(r"^\W*(?:\[[^\]]*\]|=+.*=+|#\d+\b.*|\W*RA\s.*DEC\s.*)\W*$", re.IGNORECASE)
 _MARK = re.compile(r"^\s*(?:\[[^\]]*\d[^\]]*\]|#\d+\s*\[\w+\])\s*")
-_NUMBERED = re.compile(r"\b([A-Za-z]{1,4}(?:\d(?=-))?)[\s-]?\d+[a-z]?\b")
-_SHORT = re.compile(r"\b[A-Za-z]{1,4}(?:\d(?=-))?(?=\b|\d)")
+_SHORT = re.compile(r"\b([A-Za-z]{1,4}(?:\d(?=-))?)(?:([\s-]?\d)\d*[a-z]?\b|\b)")
 _HOST = re.compile(r"(?:https?://|www\.|@)([\w-]+(?:\.[\w-]+)+)")
 
 
@@ -80,8 +79,9 @@ def learned_prefixes(texts: list[str]) -> list[str]:
     """What stands before numbers in designations: short words that mostly have a number after them."""
     numbered, all_uses = Counter(), Counter()
     for text in texts:
-        numbered.update(_NUMBERED.findall(text))
-        all_uses.update(_SHORT.findall(text))
+        found = _SHORT.findall(text)
+        all_uses.update(word for word, _ in found)
+        numbered.update(word for word, number in found if number)
     return sorted(p for p, n in numbered.items() if n >= 5 and n >= 0.7 * all_uses[p])
 
 
@@ -209,7 +209,8 @@ def fit_lexicon(texts: list[tuple[str, str | None, list[str]]], subjects: list[s
     none, k = len(subjects), len(subjects) + 1
     prefixes = learned_prefixes([text for text, _, _ in texts])
     plain = Splitter([], prefixes)
-    begin = Counter(o for text, _, _ in texts for _, s in plain.cut(text) if (o := opener(s)))
+    cuts = [plain.cut(text) for text, _, _ in texts]
+    begin = Counter(o for cut in cuts for _, s in cut if (o := opener(s)))
     total = max(1, sum(begin.values()))
     openers = [o for o, n in begin.items() if n >= 5 and n >= 0.004 * total]
     splitter = Splitter(openers, prefixes)
@@ -217,7 +218,8 @@ def fit_lexicon(texts: list[tuple[str, str | None, list[str]]], subjects: list[s
     sentences, masks, counts = [], np.zeros((len(texts), k)), []
     for n, (text, _, own) in enumerate(texts):
         masks[n, [index[s] for s in own if s in index]] = 1.0
-        found = [s for _, s in splitter.cut(text)]
+        again = splitter.missing is not None and splitter.missing.search(fold(text))
+        found = [s for _, s in (splitter.cut(text) if again else cuts[n])]
         sentences += found
         counts.append(len(found))
     masks[:, none] = 1.0
