@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asterweave.functions import text
+from asterweave.functions import sky, text
 from asterweave.operators.groups import tolerance_groups
-from asterweave.operators.regions import near_pairs
-from asterweave.runtime import discard, materialize, number
+from asterweave.runtime import BROADCAST_ROWS, discard, materialize, number, small_side
 
 #: Sizes above this many arcmin don't count as the size of a cluster.
 SIZE_CAP = 300.0
@@ -59,55 +61,75 @@ def smart_merge(df: DataFrame, arcmin: float = 3.0, key: str = "row_id", groups:
     )
 
 
-def cover_leaders(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(rank, leader) of a greedy cover: in rank order, each uncovered row leads and covers its uncovered neighbours.
+def _reached(df: DataFrame, side: float, r: float) -> DataFrame:
+    """``df`` (with x, y, z) once for each ``cell`` of ``side`` of which some place may be within ``r`` of the position."""
+    far, apart = math.ceil(r / side), F.lit(0.0)
+    for c in "xyz":
+        own = F.floor(F.col(c) / side)
+        df = df.withColumn(f"__{c}", F.explode(F.sequence(own - far, own + far)))
+        low = F.col(f"__{c}") * side
+        gap = F.greatest(low - F.col(c), F.col(c) - low - side, F.lit(0.0))
+        apart = apart + gap * gap
+        df = df.where(apart <= r * r * (1 + 1e-6))
+    return df.withColumn("cell", sky.packed(*(F.col(f"__{c}") for c in "xyz"))).drop(*(f"__{c}" for c in "xyz"))
 
-    ``pairs`` (a, b) are neighbours by rank, in either order; ``ranks`` (rank) all
-    rows. The same result as the sequential loop, in rounds: every undecided row
-    without a smaller undecided neighbour leads, its neighbours are covered; at
-    the end each covered row joins its smallest leading neighbour. Rows without
-    neighbours lead at once and take no part in the rounds.
-    """
-    spark = pairs.sparkSession
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    links = materialize(both, "links")
-    live, leading = links, None
-    while not live.isEmpty():
-        first = live.groupBy("a").agg(F.min("b").alias("least")).where("a < least").select(F.col("a").alias("leader"))
-        first = materialize(first, "leaders")
-        leading = first if leading is None else leading.union(first)
-        covered = live.join(first.withColumnRenamed("leader", "b"), "b", "left_semi").select("a").union(first.select(F.col("leader").alias("a"))).distinct()
-        covered = materialize(covered, "covered")
-        rest = live.join(covered, "a", "left_anti").join(covered.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b")
-        lone = live.join(covered, "a", "left_anti").select("a").distinct()
-        rest = materialize(rest, "links")
-        # a row left without undecided neighbours leads
-        alone = materialize(lone.join(rest.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("leader")), "leaders")
-        leading = leading.union(alone)
-        if live is not links:
-            discard(spark, live)
-        live = rest
-    if leading is None:
-        return ranks.select("rank", F.col("rank").alias("leader"))
-    follow = links.join(leading.withColumnRenamed("leader", "b"), "b", "left_semi").join(leading.withColumnRenamed("leader", "a"), "a", "left_anti")
-    chosen = follow.groupBy("a").agg(F.min("b").alias("leader")).withColumnRenamed("a", "rank")
-    return ranks.select("rank").join(chosen, "rank", "left").select("rank", F.coalesce("leader", "rank").alias("leader"))
+
+def _placed(df: DataFrame, side: float) -> DataFrame:
+    """``df`` with x, y, z and the ``cell`` of ``side`` that holds them, of the position in its ``place``."""
+    x, y, z = sky.unit_vector(F.col("place.ra"), F.col("place.dec"))
+    return df.withColumns({"x": x, "y": y, "z": z}).withColumn("cell", sky.cell_of(F.col("x"), F.col("y"), F.col("z"), side))
 
 
-def ranked(df: DataFrame, key: str = "row_id") -> DataFrame:
-    """``df`` with ``rank`` from 1: highest score first, then largest size, then lowest key, without one task for all rows.
+def _distance2(p: Callable[[str], Column], q: Callable[[str], Column]) -> Column:
+    return sum(((p(c) - q(c)) * (p(c) - q(c)) for c in "xyz"), F.lit(0.0))
 
-    A range-partitioned sort gives each partition its place; the number of rows
-    before it is added to the place within it.
+
+def cover_leaders(rows: DataFrame, degrees: float) -> DataFrame:
+    """``rows`` with ``leader`` of a greedy cover: in the order of ``place``, each uncovered row leads and covers its uncovered neighbours.
+
+    ``place`` is a struct that orders the rows and ends with usable ``ra`` and
+    ``dec``; ``leader`` is that of the leading row. Neighbours are less than
+    ``degrees`` apart. Rows without a usable position lead themselves.
+
+    The same result as the sequential loop, in rounds, and no pair of rows is
+    formed: of each cell only the first undecided row may lead; it does if no
+    cell within reach has an earlier one. What new leaders reach is decided and
+    leaves the rounds. Cells are so small that each has one leader at most. At
+    the end each row joins the first leader that reaches it; leaders lie
+    ``degrees`` apart, so that few reach a cell. ``rows`` are read in each of
+    the first steps and should be materialized.
     """
-    order = [F.col("final_score").desc_nulls_last(), number(F.col("size")).desc_nulls_last(), F.col(key)]
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    parts = materialize(parts, "ranked")
-    counts = parts.groupBy("__part").agg(F.count("*").alias("n"))
-    # as many rows as there are partitions
-    before = counts.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    return parts.withColumn("__place", place).join(F.broadcast(before), "__part").select(*df.columns, (F.col("__place") + F.col("before")).alias("rank"))
+    spark, r = rows.sparkSession, sky.chord(degrees * 60.0)
+    if degrees <= 0:
+        return rows.withColumn("leader", F.col("place"))
+    least = 4.0 / (1 << sky.AXIS_BITS)
+    fine, wide = max(r / math.sqrt(3.0) * (1.0 - 1e-9), least), max(r, least)
+    first_of, col = F.min(F.struct("place", "x", "y", "z")).alias("f"), F.col
+    live, leading = rows.where("place.ra is not null and place.dec is not null").select("place"), None
+    whole = live
+    while True:
+        firsts = materialize(_placed(live, fine).groupBy("cell").agg(first_of).select("f.*", col("cell").alias("home")), "firsts")
+        n = firsts.count()
+        if leading is not None and not n:
+            break
+        others = firsts.select(col("home").alias("cell"), col("place").alias("other"))
+        others = F.broadcast(others) if n <= BROADCAST_ROWS else others
+        waits = _reached(firsts, fine, r).join(others, "cell").where("other < place").select("home").distinct()
+        new = materialize(firsts.join(waits, "home", "left_anti").select("place", "x", "y", "z"), "leaders")
+        discard(spark, firsts)
+        leading = new if leading is None else leading.union(new)
+        near = _reached(new, wide, r).select("cell", *(col(c).alias(f"{c}2") for c in "xyz"))
+        near = F.broadcast(near) if new.count() * 27 <= BROADCAST_ROWS else near  # a cell and its 26 neighbours
+        met = (col("l.cell") == col("n.cell")) & (_distance2(lambda c: col(f"l.{c}"), lambda c: col(f"n.{c}2")) < r * r)
+        rest = materialize(_placed(live, wide).alias("l").join(near.alias("n"), met, "left_anti").select("place"), "live")
+        if live is not whole:
+            discard(spark, live)
+        live = rest
+    each = F.struct("place", "x", "y", "z")
+    near = materialize(_reached(leading, wide, r).groupBy("cell").agg(F.array_sort(F.collect_list(each)).alias("near")), "near")
+    reaching = F.filter("near", lambda q: _distance2(col, lambda c: q[c]) < r * r)
+    found = _placed(rows, wide).join(small_side(near), "cell", "left").withColumn("leader", F.coalesce(F.get(reaching, F.lit(0))["place"], "place"))
+    return found.select(*rows.columns, "leader")
 
 
 def atlas_frames(df: DataFrame, degrees: float = 2.0, key: str = "row_id") -> DataFrame:
@@ -120,13 +142,15 @@ def atlas_frames(df: DataFrame, degrees: float = 2.0, key: str = "row_id") -> Da
     Whole name texts are joined in rank order, each once. Type, magnitude and
     score stay the leader's.
     """
-    rows = materialize(ranked(df.drop("rank", "leader"), key), "cover-rows")
-    pairs = near_pairs(rows, degrees * 60.0, "rank", strict=True)
-    cover = rows.join(cover_leaders(pairs, rows), "rank")
+    first = [F.coalesce(F.nanvl(-F.col("final_score"), F.lit(math.inf)), F.lit(math.inf)), F.coalesce(-number(F.col("size")), F.lit(math.inf)), F.col(key)]
+    place = F.struct(*(c.alias(n) for c, n in zip(first, ("score", "size", "key"), strict=True)), sky.usable_ra(F.col("ra")).alias("ra"), sky.usable_dec(F.col("dec")).alias("dec"))
+    rows = df.select(key, "id", "ra", "dec", "size", "extra_info", "common_names", "final_score", place.alias("place"))
+    cover = cover_leaders(materialize(rows, "cover-rows"), degrees)
     size = number(F.col("size"))
-    frame = F.struct("rank", "id", "ra", "dec")
-    names = F.struct("rank", F.trim("common_names").alias("n"))
-    lead = F.min_by(F.struct("id", "ra", "dec", "size", "final_score", key), "rank")
+    rank = F.struct("place.score", "place.size", "place.key").alias("rank")
+    frame = F.struct(rank, "id", "ra", "dec")
+    names = F.struct(rank, F.trim("common_names").alias("n"))
+    lead = F.min_by(F.struct("id", "ra", "dec", "size", "final_score", key), "place")
     groups = cover.groupBy("leader").agg(
         lead.alias("l"), capped_size(size, number(lead["size"])).alias("size"),
         F.array_sort(F.collect_list(frame)).alias("frame"), F.collect_set("extra_info").alias("extras"),

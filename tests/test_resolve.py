@@ -47,3 +47,25 @@ def test_frame_takes_the_preferred_designation(spark):
     got = {r.row_id: r for r in resolve.atlas_frames(df).collect()}
     assert (got[1].id, got[1].ra, got[1].extra_info, got[1].common_names, got[1].size) == ("Sh2-277", 80.5, "B33, LDN1630", "Horse, Flame", 5.0)
     assert got[3].id == "IC434" and resolve.atlas_frames(df.limit(0)).count() == 0
+
+
+def test_cover_of_a_crowded_sky_writes_no_pairs(spark, monkeypatch):
+    rnd, written, write = random.Random(4), [], resolve.materialize
+    rows = [(i, f"PGC{i}", rnd.uniform(-180, 540), rnd.uniform(87.5, 90), float(rnd.randrange(3)), "", "", rnd.choice([None, 1.0, 2.0])) for i in range(300)]
+    rows += [(i, f"PGC{i}", ra, dec, None, "", "", 3.0) for i, (ra, dec) in enumerate([(359.5, 0.0), (0.5, 0.0), (-0.5, 0.0), (2.5, 0.0), (0.5, 95.0), (0.5, 95.0)], 300)]
+
+    def counted(df, what):
+        out = write(df, what)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(resolve, "materialize", counted)
+    df = spark.createDataFrame(rows, "row_id long, id string, ra double, dec double, size double, extra_info string, common_names string, final_score double")
+    got = {r.row_id: r.members for r in resolve.atlas_frames(df).collect()}
+    places = {r[0]: {"ra": r[2], "dec": r[3]} for r in rows}
+    left, want = [r[0] for r in sorted(rows, key=lambda r: (-(r[7] or 0), -(r[4] or -1), r[0]))], {}
+    while left:
+        lead = left[0]
+        own = [k for k in left if k == lead or lead < 304 and k < 304 and apart(places[lead], places[k]) < 2.0]
+        want[lead], left = len(own), [k for k in left if k not in own]
+    assert got == want and max(written) <= 10 * len(rows)
